@@ -58,16 +58,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def callable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def callable_keys(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     """One row per callable, numbered inside its (small) order."""
     li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    if keep is not None:
+        li = li.where(keep)
     agg = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
     rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_partkey"))
     return agg.withColumn("ord", F.col("l_orderkey") * 64 + rn)
 
 
-def callables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = callable_keys(spark, sf_dir)
+def callables(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+    keys = callable_keys(spark, sf_dir, keep)
     p = table(spark, sf_dir, "part").select("p_partkey", part_path().alias("file"), part_group().alias("group"))
     return keys.join(p, keys.l_partkey == p.p_partkey).select(
         (F.col("ord") + CALLABLE_ORD).alias("ord"),
@@ -81,8 +83,8 @@ def callables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def defines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return callable_keys(spark, sf_dir).select(
+def defines(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+    return callable_keys(spark, sf_dir, keep).select(
         "ord",
         F.concat(F.lit("part_"), F.col("l_partkey")).alias("source"),
         F.concat_ws("_", F.lit("fn"), "l_orderkey", "l_partkey").alias("target"),
@@ -203,3 +205,15 @@ def embedding_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("other").alias("group"),
         F.col("embedding").cast("array<float>").alias("embedding"),
     )
+
+
+def snapshot(spark: SparkSession, sf_dir: str, keep, moved: bool) -> PropertyGraph:
+    """A version of the derived graph: some orders left out, some nodes moved."""
+    f = files(spark, sf_dir)
+    c = callables(spark, sf_dir, keep)
+    if moved:
+        f = f.withColumn("group", F.when(F.col("ord") % 13 == 0, "moved").otherwise(F.col("group")))
+        c = c.withColumn("line", F.when(F.col("line") % 7 == 0, F.col("line") + 1).otherwise(F.col("line")))
+    nodes = conform(f, NODE_SCHEMA).unionByName(conform(c, NODE_SCHEMA))
+    edges = defines(spark, sf_dir, keep).unionByName(imports(spark, sf_dir, 28, keep))
+    return PropertyGraph(nodes, conform(edges, EDGE_SCHEMA), project="derived")

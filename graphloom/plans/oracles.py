@@ -163,3 +163,202 @@ _add("bottlenecks", [FILES, KEYS, CALLABLES, imports(38), CLOSURE, _BOTTLENECKS]
 _add("bottlenecks_top", [FILES, KEYS, CALLABLES, imports(38), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks ORDER BY score DESC, ord LIMIT 15", True)
 _add("cycles_members", [imports(28), CLOSURE, SCC], "SELECT scc_id, node_id FROM scc", True)
 ORACLES["node_size"] = ORACLES["node_size"].replace("\n, d AS", ",\nd AS")
+
+WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: lower(w))"
+DOC_HASH = f"""doc_nodes AS (
+  SELECT doc_id AS ord, 'doc_' || doc_id AS node_id, 'doc' || doc_id AS label, source || '/' || lang || '/doc_' || doc_id || '.txt' AS file,
+    CASE WHEN len(w) >= 20 THEN sha256(array_to_string(w, '|')) END AS duplicate_hash
+  FROM (SELECT *, {WORDS} AS w FROM documents))"""
+DOC_CALLS = """doc_calls AS (
+  SELECT 'doc_' || doc_id AS source, 'helper_' || doc_id % 4 AS target FROM documents
+  UNION ALL SELECT 'doc_' || doc_id, 'helper_9' FROM documents WHERE doc_id % 5 = 0)"""
+DUP_SIZES = """sizes AS (SELECT duplicate_hash, count(*) AS group_size, min(ord) AS group_ord FROM doc_nodes
+  WHERE duplicate_hash IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"""
+DUP_OUT = "SELECT duplicate_hash, group_ord, group_size, ord, node_id, label, file FROM doc_nodes JOIN sizes USING (duplicate_hash)"
+_COMMON = """common AS (SELECT duplicate_hash FROM doc_nodes JOIN doc_calls ON source = node_id JOIN sizes USING (duplicate_hash)
+  GROUP BY duplicate_hash, target, group_size HAVING count(DISTINCT node_id) = group_size)"""
+_add("duplicate_groups", [DOC_HASH, DUP_SIZES], DUP_OUT)
+_add("duplicate_groups_no_shared_helper", [DOC_HASH, DOC_CALLS, DUP_SIZES, _COMMON],
+     DUP_OUT + " WHERE duplicate_hash NOT IN (SELECT duplicate_hash FROM common)")
+_add("shape_hash", ["x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{L}_][\\p{L}\\p{N}_]*|\\p{N}+|[^\\s\\p{L}\\p{N}_]'), "
+     "lambda w: CASE WHEN regexp_matches(w, '^[\\p{L}_]') THEN 'ID' WHEN regexp_matches(w, '^\\p{N}') THEN 'LIT' ELSE w END) AS t FROM documents)"],
+     "SELECT doc_id, CASE WHEN len(t) >= 20 THEN sha256(array_to_string(t, '|')) END AS shape_hash FROM x")
+
+
+def _fnv(s: str) -> str:
+    return (f"list_reduce(list_transform(string_split({s}, ''), lambda c: CAST(unicode(c) AS BIGINT)), "
+            f"lambda h, c: (xor(h, c) * {FNV_PRIME}) % 4294967296, CAST({FNV_OFFSET} AS BIGINT))")
+
+
+SIGNATURES = f"""words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], '') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 40)),
+hashed AS (SELECT doc_id, {_fnv('s')} AS h FROM shingles),
+lane_consts AS (SELECT lane, {_fnv(f"'{LANE_A_PREFIX}' || lane")} | 1 AS a, {_fnv(f"'{LANE_B_PREFIX}' || lane")} AS b FROM range({LANES}) r(lane)),
+lanes AS (SELECT doc_id, lane, CAST(min((CAST(a AS HUGEINT) * h + b) % 4294967296) AS BIGINT) >> 16 AS v FROM hashed, lane_consts GROUP BY ALL),
+signatures AS (SELECT doc_id, string_agg(lpad(printf('%x', v), 4, '0'), '' ORDER BY lane) AS signature FROM lanes GROUP BY doc_id)"""
+_add("minhash_signature", [SIGNATURES], "SELECT doc_id, signature FROM documents LEFT JOIN signatures USING (doc_id)")
+_add("similar_code", [SIGNATURES, DOC_HASH, DOC_CALLS, DUP_SIZES, _COMMON,
+  """exact AS (SELECT b.node_id, b.file, 1.0 AS similarity, 'exact' AS kind FROM doc_nodes a JOIN doc_nodes b USING (duplicate_hash)
+     WHERE a.node_id = 'doc_17' AND b.node_id <> 'doc_17' AND duplicate_hash NOT IN (SELECT duplicate_hash FROM common)),
+fuzzy AS (SELECT n.node_id, any_value(n.file) AS file, count(*) FILTER (a.v = b.v) / 32.0 AS similarity, 'fuzzy' AS kind
+     FROM lanes a JOIN lanes b USING (lane) JOIN doc_nodes n ON n.ord = b.doc_id
+     WHERE a.doc_id = 17 AND b.doc_id <> 17 GROUP BY n.node_id)"""],
+  """SELECT node_id, file, CAST(similarity AS DOUBLE) AS similarity, kind FROM (SELECT * FROM exact UNION ALL
+     SELECT * FROM fuzzy WHERE similarity >= 0.05 AND node_id NOT IN (SELECT node_id FROM exact))
+     ORDER BY similarity DESC, node_id COLLATE icu_noaccent, node_id LIMIT 50""")
+
+# --- retrieval -----------------------------------------------------------
+
+SMALL_QUERY = ["small", "ring", "part", "get", "order", "7?"]
+TYPE_QUERY = ["promo", "function", "getorder1", "standard"]
+
+
+def keyword_ctes(kws: list[str], type_filter: str | None, limit: int) -> list[str]:
+    uniq = list(dict.fromkeys(kws))
+    freq = ", ".join(f"count(*) FILTER (list_contains(terms, '{k}')) AS d{i}" for i, k in enumerate(uniq))
+    terms = []
+    for k in kws:
+        d = f"d{uniq.index(k)}"
+        w = f"CASE WHEN {d} = 0 THEN 1.0::DOUBLE ELSE greatest(ln(n / (1.0::DOUBLE + {d})), 0.1::DOUBLE) END"
+        terms.append(f"""CASE WHEN ll = '{k}' THEN 10.0::DOUBLE ELSE 0 END
+          + CASE WHEN list_contains(terms, '{k}') THEN greatest(5.0::DOUBLE * {w}, 2.5::DOUBLE) WHEN contains(ll, '{k}') THEN 2.0::DOUBLE ELSE 0 END
+          + CASE WHEN contains(lower(file), '{k}') THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN type = '{k}' THEN 3.0::DOUBLE ELSE 0 END""")
+    where = f"WHERE type = '{type_filter}'" if type_filter else ""
+    return [
+        f"tn AS (SELECT *, {tokenize('label')} AS terms, lower(label) AS ll FROM nodes)",
+        f"freq AS (SELECT count(*) AS n, {freq} FROM tn)",
+        f"kw AS (SELECT ord, id, {' + '.join(terms)} AS score FROM tn, freq {where})",
+        f"top AS (SELECT id, CAST(row_number() OVER (ORDER BY score DESC, ord) AS INT) AS rank, score FROM kw WHERE score > 0 QUALIFY rank <= {limit})",
+    ]
+
+
+_add("term_idf", [graph(), f"p AS (SELECT id, unnest(list_distinct({tokenize('label')})) AS term FROM nodes)"],
+     "SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM nodes) / (1.0::DOUBLE + count(*))), 9) AS idf FROM p GROUP BY term")
+_add("keyword_topk", [graph(), *keyword_ctes(SMALL_QUERY, None, 50)], "SELECT id, rank, round(score, 9) AS score FROM top")
+_add("keyword_topk_typed", [graph(), *keyword_ctes(TYPE_QUERY, "function", 40)], "SELECT id, rank, round(score, 9) AS score FROM top")
+
+_DOT = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
+
+
+def _cos(a: str, b: str) -> str:
+    return f"{_DOT.format(a=a, b=b)} / (sqrt({_DOT.format(a=a, b=a)}) * sqrt({_DOT.format(a=b, b=b)}))"
+
+
+VEC = "v AS (SELECT vec_id AS ord, 'vec_' || vec_id AS id, embedding AS e, 'vecLabel' || label AS label, 'vectors/label_' || label || '.py' AS file, 'function' AS type FROM embeddings)"
+QV = "q AS (SELECT e AS qe FROM v ORDER BY ord LIMIT 1)"
+
+
+def sem(k: int) -> str:
+    return f"sem AS (SELECT id, ord, s, CAST(row_number() OVER (ORDER BY s DESC, ord) AS INT) AS rank FROM (SELECT id, ord, {_cos('qe', 'e')} AS s FROM v, q) QUALIFY rank <= {k})"
+
+
+_add("cosine_topk", [VEC, QV, sem(100)], "SELECT id, rank, round(s, 9) AS semantic_score FROM sem")
+_add("rrf_fusion", [VEC, QV, sem(80), "nodes AS (SELECT * FROM v)", *keyword_ctes(["label3", "label4", "vec"], None, 80),
+  """fused AS (SELECT id, sum(c) AS f FROM (SELECT id, 0.4::DOUBLE / (60 + rank) AS c FROM top UNION ALL SELECT id, 0.6::DOUBLE / (60 + rank) FROM sem) GROUP BY id)"""],
+  """SELECT id, CAST(row_number() OVER (ORDER BY f DESC, top.rank NULLS LAST, sem.rank NULLS LAST) AS INT) AS rank, round(f, 12) AS final_score
+     FROM fused LEFT JOIN top USING (id) LEFT JOIN sem USING (id) QUALIFY rank <= 25""")
+_add("mean_embedding", ["x AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS p FROM embeddings)"],
+     "SELECT label, CAST(p AS INT) AS p, round(avg(CAST(v AS DOUBLE)), 9) AS m FROM x GROUP BY label, p")
+_add("semantic_neighbors", [VEC, QV, sem(5),
+  """m AS (SELECT list(a ORDER BY p) AS me FROM (SELECT p, avg(x) AS a FROM (SELECT unnest(range(len(e))) AS p, CAST(unnest(e) AS DOUBLE) AS x FROM v WHERE id IN (SELECT id FROM sem)) GROUP BY p))""",
+  f"n AS (SELECT id, row_number() OVER (ORDER BY {_cos('me', 'e')} DESC, ord) AS r FROM v, m WHERE id NOT IN (SELECT id FROM sem))"],
+  "SELECT id, rank FROM sem UNION ALL SELECT id, CAST(r + 5 AS INT) FROM n WHERE r <= 20")
+EXPAND = """marks AS (
+  SELECT id, rank AS sr, 0 AS phase, 0 AS n FROM top
+  UNION ALL SELECT target, rank, 1, row_number() OVER (PARTITION BY t.id ORDER BY e.ord) AS n FROM top t JOIN edges e ON e.source = t.id
+    WHERE target IN (SELECT id FROM nodes) QUALIFY n <= 10
+  UNION ALL SELECT source, rank, 2, row_number() OVER (PARTITION BY t.id ORDER BY e.ord) AS n FROM top t JOIN edges e ON e.target = t.id
+    WHERE source IN (SELECT id FROM nodes) QUALIFY n <= 10),
+rel AS (SELECT id, CAST(row_number() OVER (ORDER BY at, id) AS INT) AS pos FROM (
+  SELECT id, min(row(sr, phase, n)) AS at FROM marks GROUP BY id) QUALIFY pos <= 150)"""
+_add("expand_context", [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND], "SELECT id, pos FROM rel")
+_add("context_sections", [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND,
+  """outs AS (SELECT source AS id, string_agg(label, ', ' ORDER BY n) AS o FROM (SELECT e.source, label, row_number() OVER (PARTITION BY e.source ORDER BY e.ord) AS n
+       FROM edges e JOIN rel ON rel.id = e.source JOIN nodes t ON t.id = e.target QUALIFY n <= 3) GROUP BY source),
+ins AS (SELECT target AS id, string_agg(label, ', ' ORDER BY n) AS i FROM (SELECT e.target, label, row_number() OVER (PARTITION BY e.target ORDER BY e.ord) AS n
+       FROM edges e JOIN rel ON rel.id = e.target JOIN nodes s ON s.id = e.source QUALIFY n <= 2) GROUP BY target),
+lines AS (SELECT pos, file, CASE WHEN type = 'file' THEN '├ 📁 ' ELSE '  ├ ⚙️ ' END || label || ' (' || type || ')' || coalesce(' → ' || o, '') || coalesce(' ← ' || i, '') AS line
+       FROM rel JOIN nodes USING (id) LEFT JOIN outs USING (id) LEFT JOIN ins USING (id))"""],
+  """SELECT min(pos) AS section_ord, file AS section_key, 'file' AS kind, count(*) AS node_count,
+     '📄 ' || file || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY file""")
+_add("budget_fill", ["c AS (SELECT doc_id AS section_ord, lang, CAST(ceil(length(text) / 4.0) + 2 AS BIGINT) AS cost FROM documents)"],
+     """SELECT section_ord, lang, cost, CAST(sum(cost) OVER w AS BIGINT) AS used, sum(cost) OVER w <= 5000 OR row_number() OVER w = 1 AS included
+        FROM c WINDOW w AS (PARTITION BY lang ORDER BY section_ord)""")
+_add("embedding_text", [graph(),
+  """outs AS (SELECT source AS id, string_agg(label, ', ' ORDER BY n) AS o FROM (SELECT e.source, label, row_number() OVER (PARTITION BY e.source ORDER BY e.ord) AS n
+       FROM edges e JOIN nodes t ON t.id = e.target QUALIFY n <= 5) GROUP BY source),
+ins AS (SELECT target AS id, string_agg(label, ', ' ORDER BY n) AS i FROM (SELECT e.target, label, row_number() OVER (PARTITION BY e.target ORDER BY e.ord) AS n
+       FROM edges e JOIN nodes s ON s.id = e.source QUALIFY n <= 5) GROUP BY target)"""],
+  f"""SELECT id, array_to_string({tokenize('label')}, ' ') || ' — ' || type || ' in ' || string_split(file, '/')[-1] || chr(10) || 'layer: ' || grp
+      || coalesce(chr(10) || 'calls: ' || o, '') || coalesce(chr(10) || 'used by: ' || i, '') AS text
+      FROM nodes LEFT JOIN outs USING (id) LEFT JOIN ins USING (id) WHERE type <> 'file'""")
+_add("node_neighbors", [graph()], """SELECT e.ord, relation, 'outgoing' AS direction, target AS other, label, type, file FROM edges e JOIN nodes n ON n.id = target WHERE source = 'part_14'
+  UNION ALL SELECT e.ord, relation, 'incoming', source, label, type, file FROM edges e JOIN nodes n ON n.id = source WHERE target = 'part_14'""")
+
+# --- clusters, diff, incremental -----------------------------------------
+
+CLUSTERS = """fc AS (SELECT 0 AS phase, file AS key, count(*) AS node_count, min(ord) AS o FROM callables GROUP BY file HAVING count(*) > 3),
+lefts AS (SELECT * FROM callables WHERE file NOT IN (SELECT key FROM fc)),
+tc AS (SELECT 1 AS phase, type AS key, count(*) AS node_count, min(ord) AS o FROM lefts GROUP BY type HAVING count(*) > 5),
+heads AS (SELECT *, 'cluster_' || (row_number() OVER (ORDER BY phase, o) - 1) AS cluster_id FROM (SELECT * FROM fc UNION ALL SELECT * FROM tc)),
+mem AS (SELECT c.*, cluster_id FROM callables c JOIN heads ON phase = 0 AND key = file
+        UNION ALL SELECT l.*, cluster_id FROM lefts l JOIN heads ON phase = 1 AND key = type),
+ce AS (SELECT e.*, s.cluster_id AS source_cluster, t.cluster_id AS target_cluster FROM edges e LEFT JOIN mem s ON s.id = e.source LEFT JOIN mem t ON t.id = e.target
+       WHERE s.cluster_id IS NOT NULL OR t.cluster_id IS NOT NULL)"""
+_add("clusters", [graph(), CLUSTERS,
+  """ty AS (SELECT cluster_id, string_agg(type, ',' ORDER BY o) AS types FROM (SELECT cluster_id, type, min(ord) AS o FROM mem GROUP BY ALL) GROUP BY cluster_id),
+pu AS (SELECT cluster_id, string_agg(lower(label), ', ' ORDER BY ord) AS purposes FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS rn FROM mem QUALIFY rn <= 2) GROUP BY cluster_id),
+it AS (SELECT source_cluster AS cluster_id, count(*) AS n FROM ce WHERE source_cluster = target_cluster GROUP BY ALL),
+ex AS (SELECT cluster_id, string_agg(target, ',' ORDER BY rn) AS d FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY o, target) AS rn FROM (
+   SELECT source_cluster AS cluster_id, target, min(ord) AS o FROM ce WHERE source_cluster IS NOT NULL AND source_cluster IS DISTINCT FROM target_cluster GROUP BY ALL) QUALIFY rn <= 5) GROUP BY cluster_id)"""],
+  """SELECT cluster_id, CASE WHEN phase = 0 THEN regexp_replace(string_split(key, '/')[-1], '\\.[^/.]+$', '') ELSE key || 's' END AS label, node_count, types,
+     node_count || ' ' || replace(types, ',', ', ') || 's including ' || purposes || CASE WHEN n > 0 THEN ', ' || n || ' internal connections' ELSE '' END AS summary,
+     coalesce(d, '') AS external_deps FROM heads JOIN ty USING (cluster_id) JOIN pu USING (cluster_id) LEFT JOIN it USING (cluster_id) LEFT JOIN ex USING (cluster_id)""")
+_add("node_to_cluster", [graph(), CLUSTERS], "SELECT id AS node_id, cluster_id FROM mem")
+_add("cluster_edge_counts", [graph(), CLUSTERS], "SELECT source_cluster, target_cluster, count(*) AS edges FROM ce GROUP BY ALL")
+_add("cluster_incoming", [graph(), CLUSTERS], """SELECT cluster_id, string_agg(source, ',' ORDER BY rn) AS incoming_deps FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY o, source) AS rn FROM (
+   SELECT target_cluster AS cluster_id, source, min(ord) AS o FROM ce WHERE target_cluster IS NOT NULL AND source_cluster IS DISTINCT FROM target_cluster GROUP BY ALL) QUALIFY rn <= 5) GROUP BY cluster_id""")
+
+
+def snapshot(name: str, keep: str, moved: bool) -> str:
+    grp = "CASE WHEN ord % 13 = 0 THEN 'moved' ELSE grp END" if moved else "grp"
+    line = "CASE WHEN line % 7 = 0 THEN line + 1 ELSE line END" if moved else "line"
+    keys = f"(l_orderkey, l_partkey) IN (SELECT l_orderkey, l_partkey FROM lineitem WHERE {keep})"
+    return ",\n".join([
+        imports(28, keep, f"imports_{name}"),
+        f"""nodes_{name} AS (SELECT id, label, type, file, {grp} AS grp, NULL AS line FROM files
+  UNION ALL SELECT id, label, type, file, grp, {line} FROM callables WHERE {keep.replace('l_orderkey', "CAST(string_split(id, '_')[2] AS BIGINT)")})""",
+        f"""edges_{name} AS (SELECT source, target, relation FROM imports_{name}
+  UNION ALL SELECT source, target, relation FROM defines WHERE {keep.replace('l_orderkey', "CAST(string_split(target, '_')[2] AS BIGINT)")})""",
+    ])
+
+
+_SNAPS = [FILES, KEYS, CALLABLES, DEFINES, snapshot("a", "l_orderkey % 10 <> 0", False), snapshot("b", "l_orderkey % 10 <> 1", True)]
+_fields = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{n}' END" for c, n in
+                    [("label", "label"), ("type", "type"), ("file", "file"), ("grp", "group"), ("line", "line")])
+_add("graph_diff_nodes", _SNAPS, f"""SELECT * FROM (SELECT coalesce(a.id, b.id) AS id,
+  CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS status,
+  CASE WHEN a.id IS NULL OR b.id IS NULL THEN '' ELSE array_to_string(list_filter([{_fields}], lambda x: x IS NOT NULL), ',') END AS changed_fields
+  FROM nodes_a a FULL JOIN nodes_b b ON a.id = b.id) WHERE status <> 'changed' OR changed_fields <> ''""")
+_add("graph_diff_edges", _SNAPS, """SELECT source, target, relation, 'removed' AS status FROM (SELECT * FROM edges_a EXCEPT SELECT * FROM edges_b)
+  UNION ALL SELECT source, target, relation, 'added' FROM (SELECT * FROM edges_b EXCEPT SELECT * FROM edges_a)""")
+_add("stats_delta", _SNAPS, "SELECT " + ", ".join(
+    f"(SELECT count(*) FROM nodes_b WHERE type = '{t}') - (SELECT count(*) FROM nodes_a WHERE type = '{t}') AS {n}" for n, t in
+    {"files": "file", "functions": "function", "classes": "class", "interfaces": "interface", "structs": "struct", "enums": "enum", "protocols": "protocol", "extensions": "extension"}.items())
+    + ", (SELECT count(*) FROM edges_b) - (SELECT count(*) FROM edges_a) AS edges")
+_add("manifest_diff", ["l AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, sha256(text) AS hash, n_chars * 1000 AS m, n_chars AS size FROM documents)",
+  "p AS (SELECT path, CASE WHEN doc_id % 22 = 0 THEN 'other' ELSE hash END AS hash, CASE WHEN doc_id % 11 = 0 THEN m - 1 ELSE m END AS m, size FROM l WHERE doc_id % 7 <> 0)",
+  "c AS (SELECT * FROM l WHERE doc_id % 5 <> 0)"],
+  """SELECT coalesce(p.path, c.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN p.path IS NULL THEN 'changed'
+     WHEN p.m = c.m AND p.size = c.size THEN 'unchanged' WHEN p.hash = c.hash THEN 'refreshed' ELSE 'changed' END AS status
+     FROM p FULL JOIN c ON p.path = c.path""")
+_INCR = """touched AS (SELECT file FROM files WHERE ord % 17 = 0),
+kept AS (SELECT * FROM nodes WHERE file NOT IN (SELECT file FROM touched)),
+fresh AS (SELECT * FROM nodes WHERE file IN (SELECT file FROM touched) AND (type = 'file' OR line % 2 = 0)),
+nn AS (SELECT * FROM kept UNION ALL SELECT * FROM fresh)"""
+_add("incremental_edges", [graph(), _INCR], """SELECT min(ord) AS ord, source, target, relation FROM (
+  SELECT * FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM nn)
+  UNION ALL SELECT * FROM defines WHERE target IN (SELECT id FROM fresh)) GROUP BY source, target, relation""")
+_add("incremental_nodes", [graph(), _INCR], "SELECT ord, id, label, type, file FROM nn")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as I
-from graphloom.operators import layers, quality, reachability, stats
+from graphloom.functions import signatures as S
+from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
+from graphloom.operators import clusters as C
+from graphloom.operators import diff, layers, quality, reachability, retrieval, similarity, stats
 from graphloom.plans import derived as D
 
 QUERIES: dict[str, Callable] = {}
@@ -176,3 +180,225 @@ def cycles_members(spark, sf) -> DataFrame:
 @query
 def cycles(spark, sf) -> DataFrame:
     return reachability.cycles(D.import_graph(spark, sf, 28))
+
+
+# --- duplicates and similarity -------------------------------------------
+
+@query
+def duplicate_groups(spark, sf) -> DataFrame:
+    return quality.duplicate_groups(D.document_graph(spark, sf, signatures=False), drop_shared_helper=False)
+
+
+@query
+def duplicate_groups_no_shared_helper(spark, sf) -> DataFrame:
+    return quality.duplicate_groups(D.document_graph(spark, sf, signatures=False))
+
+
+@query
+def shape_hash(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", S.duplicate_hash(S.shape_tokens("text")).alias("shape_hash"))
+
+
+@query
+def minhash_signature(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", S.lanes_to_hex(S.signature_lanes(S.word_tokens("text"))).alias("signature"))
+
+
+@query
+def similar_code(spark, sf) -> DataFrame:
+    g = D.document_graph(spark, sf)
+    return similarity.similar_code(g, "doc_17", threshold=0.05, limit=50).drop("label")
+
+
+@query
+def near_duplicate_groups(spark, sf) -> DataFrame:
+    return similarity.near_duplicate_groups(D.document_graph(spark, sf), limit=None)
+
+
+@query
+def near_duplicate_top(spark, sf) -> DataFrame:
+    return similarity.near_duplicate_groups(D.document_graph(spark, sf), limit=5)
+
+
+# --- retrieval -----------------------------------------------------------
+
+QUERY_TEXT = "Where is the small ring part get order_7?"
+TYPE_QUERY = "promo function getOrder1 standard"
+
+
+def _query_vector(spark, sf) -> list[float]:
+    """The vector with the least id stands in for an embedded query: one row."""
+    return D.embedding_nodes(spark, sf).orderBy("ord").select("embedding").head()["embedding"]
+
+
+@query
+def term_idf(spark, sf) -> DataFrame:
+    return retrieval.term_idf(D.code_graph(spark, sf).nodes).withColumn("idf", F.round("idf", 9))
+
+
+@query
+def keyword_topk(spark, sf) -> DataFrame:
+    top = retrieval.keyword_topk(D.code_graph(spark, sf), I.keywords(QUERY_TEXT), limit=50)
+    return top.select("id", "rank", F.round("score", 9).alias("score"))
+
+
+@query
+def keyword_topk_typed(spark, sf) -> DataFrame:
+    top = retrieval.keyword_topk(D.code_graph(spark, sf), I.keywords(TYPE_QUERY), limit=40, type_filter="function")
+    return top.select("id", "rank", F.round("score", 9).alias("score"))
+
+
+@query
+def cosine_topk(spark, sf) -> DataFrame:
+    top = retrieval.semantic_topk(D.embedding_nodes(spark, sf), _query_vector(spark, sf), 100)
+    return top.select("id", "rank", F.round("semantic_score", 9).alias("semantic_score"))
+
+
+@query
+def rrf_fusion(spark, sf) -> DataFrame:
+    nodes = conform(D.embedding_nodes(spark, sf), NODE_SCHEMA)
+    g = PropertyGraph(nodes, D.document_graph(spark, sf, signatures=False).edges)
+    kw = retrieval.keyword_topk(g, ["label3", "label4", "vec"], limit=80)
+    sem = retrieval.semantic_topk(nodes, _query_vector(spark, sf), 80)
+    fused = retrieval.merge_ranked(kw, sem, 25)
+    return fused.select("id", "rank", F.round("final_score", 12).alias("final_score"))
+
+
+@query
+def mean_embedding(spark, sf) -> DataFrame:
+    e = D.table(spark, sf, "embeddings")
+    per_pos = e.select("label", F.posexplode("embedding").alias("p", "v")).groupBy("label", "p").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return per_pos.select("label", "p", F.round("m", 9).alias("m"))
+
+
+@query
+def semantic_neighbors(spark, sf) -> DataFrame:
+    nodes = D.embedding_nodes(spark, sf)
+    start = retrieval.semantic_topk(nodes, _query_vector(spark, sf), 5).select("id", "rank")
+    return retrieval.semantic_neighbors(start, nodes, 25)
+
+
+@query
+def expand_context(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    seeds = retrieval.keyword_topk(g, I.keywords(QUERY_TEXT), limit=20)
+    return retrieval.expand_context(g, seeds)
+
+
+@query
+def context_sections(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    seeds = retrieval.keyword_topk(g, I.keywords(QUERY_TEXT), limit=20)
+    return retrieval.context_sections(g, retrieval.expand_context(g, seeds))
+
+
+@query
+def budget_fill(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    sections = d.select(F.col("doc_id").alias("section_ord"), "lang", "text")
+    cost = F.ceil(F.length("text") / F.lit(4)) + 2
+    # Budget per language: the greedy prefix over each language's documents.
+    w = W.partitionBy("lang").orderBy("section_ord")
+    used = sections.select("section_ord", "lang", cost.cast("long").alias("cost"))
+    run = used.withColumn("used", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return run.select("section_ord", "lang", "cost", "used", ((F.col("used") <= 5000) | (F.row_number().over(w) == 1)).alias("included"))
+
+
+@query
+def embedding_text(spark, sf) -> DataFrame:
+    return retrieval.embedding_text(D.code_graph(spark, sf))
+
+
+@query
+def node_neighbors(spark, sf) -> DataFrame:
+    return retrieval.node_neighbors(D.code_graph(spark, sf), "part_14")
+
+
+# --- clusters, diff, incremental -----------------------------------------
+
+@query
+def clusters(spark, sf) -> DataFrame:
+    c, _ = C.build_clusters(D.code_graph(spark, sf))
+    return c.select("cluster_id", "label", "node_count", F.array_join("types", ",").alias("types"), "summary",
+                    F.array_join("external_deps", ",").alias("external_deps"))
+
+
+@query
+def node_to_cluster(spark, sf) -> DataFrame:
+    _, m = C.build_clusters(D.code_graph(spark, sf))
+    return m.select("node_id", "cluster_id")
+
+
+@query
+def cluster_edge_counts(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    _, m = C.build_clusters(g)
+    e = C.edge_clusters(g.edges, m.select(F.col("node_id").alias("id"), "cluster_id"))
+    return e.groupBy("source_cluster", "target_cluster").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query
+def cluster_incoming(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    _, m = C.build_clusters(g)
+    e = C.edge_clusters(g.edges, m.select(F.col("node_id").alias("id"), "cluster_id"))
+    return C.incoming_deps(e).select("cluster_id", F.array_join("incoming_deps", ",").alias("incoming_deps"))
+
+
+KEEP_A, KEEP_B = "l_orderkey % 10 <> 0", "l_orderkey % 10 <> 1"
+
+
+def _snapshots(spark, sf):
+    return D.snapshot(spark, sf, F.expr(KEEP_A), False), D.snapshot(spark, sf, F.expr(KEEP_B), True)
+
+
+@query
+def graph_diff_nodes(spark, sf) -> DataFrame:
+    a, b = _snapshots(spark, sf)
+    return diff.diff_nodes(a, b).select("id", "status", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
+@query
+def graph_diff_edges(spark, sf) -> DataFrame:
+    return diff.diff_edges(*_snapshots(spark, sf))
+
+
+@query
+def stats_delta(spark, sf) -> DataFrame:
+    return diff.stats_delta(*_snapshots(spark, sf))
+
+
+def _listing(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    return d.select(
+        "doc_id", F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt"))).alias("path"),
+        F.sha2("text", 256).alias("hash"), (F.col("n_chars") * 1000).alias("mtime_ms"), F.col("n_chars").alias("size"))
+
+
+@query
+def manifest_diff(spark, sf) -> DataFrame:
+    now = _listing(spark, sf)
+    before = now.where(F.col("doc_id") % 7 != 0)
+    before = before.withColumn("mtime_ms", F.when(F.col("doc_id") % 11 == 0, F.col("mtime_ms") - 1).otherwise(F.col("mtime_ms")))
+    before = before.withColumn("hash", F.when(F.col("doc_id") % 22 == 0, F.lit("other")).otherwise(F.col("hash")))
+    return diff.manifest_diff(before, now.where(F.col("doc_id") % 5 != 0))
+
+
+@query
+def incremental_edges(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    touched = D.files(spark, sf).where(F.col("partkey") % 17 == 0).select("id", F.col("file").alias("path"))
+    fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
+    fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")
+    return diff.carry_over(g, touched.select("path"), fresh_nodes, fresh_edges).edges
+
+
+@query
+def incremental_nodes(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    touched = D.files(spark, sf).where(F.col("partkey") % 17 == 0).select("id", F.col("file").alias("path"))
+    fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
+    fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")
+    return diff.carry_over(g, touched.select("path"), fresh_nodes, fresh_edges).nodes.select("ord", "id", "label", "type", "file")
