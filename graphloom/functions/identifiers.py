@@ -136,7 +136,7 @@ def version_array(v) -> Column:
 
 def xml_escape(c) -> Column:
     out = _col(c)
-    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
     return out
 

@@ -256,8 +256,8 @@ def sem(k: int) -> str:
 _add("cosine_topk", [VEC, QV, sem(100)], "SELECT id, rank, round(s, 9) AS semantic_score FROM sem")
 _add("rrf_fusion", [VEC, QV, sem(80), "nodes AS (SELECT * FROM v)", *keyword_ctes(["label3", "label4", "vec"], None, 80),
   """fused AS (SELECT id, sum(c) AS f FROM (SELECT id, 0.4::DOUBLE / (60 + rank) AS c FROM top UNION ALL SELECT id, 0.6::DOUBLE / (60 + rank) FROM sem) GROUP BY id)"""],
-  """SELECT id, CAST(row_number() OVER (ORDER BY f DESC, top.rank NULLS LAST, sem.rank NULLS LAST) AS INT) AS rank, round(f, 12) AS final_score
-     FROM fused LEFT JOIN top USING (id) LEFT JOIN sem USING (id) QUALIFY rank <= 25""")
+  """SELECT id, CAST(row_number() OVER (ORDER BY f DESC, t.rank NULLS LAST, s.rank NULLS LAST) AS INT) AS rank, round(f, 12) AS final_score
+     FROM fused LEFT JOIN top t USING (id) LEFT JOIN sem s USING (id) ORDER BY f DESC, t.rank NULLS LAST, s.rank NULLS LAST LIMIT 25""")
 _add("mean_embedding", ["x AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS p FROM embeddings)"],
      "SELECT label, CAST(p AS INT) AS p, round(avg(CAST(v AS DOUBLE)), 9) AS m FROM x GROUP BY label, p")
 _add("semantic_neighbors", [VEC, QV, sem(5),
@@ -270,21 +270,21 @@ EXPAND = """marks AS (
     WHERE target IN (SELECT id FROM nodes) QUALIFY n <= 10
   UNION ALL SELECT source, rank, 2, row_number() OVER (PARTITION BY t.id ORDER BY e.ord) AS n FROM top t JOIN edges e ON e.target = t.id
     WHERE source IN (SELECT id FROM nodes) QUALIFY n <= 10),
-rel AS (SELECT id, CAST(row_number() OVER (ORDER BY at, id) AS INT) AS pos FROM (
-  SELECT id, min(row(sr, phase, n)) AS at FROM marks GROUP BY id) QUALIFY pos <= 150)"""
+rel AS (SELECT id, CAST(row_number() OVER (ORDER BY place, id) AS INT) AS pos FROM (
+  SELECT id, min(row(sr, phase, n)) AS place FROM marks GROUP BY id) QUALIFY pos <= 150)"""
 _add("expand_context", [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND], "SELECT id, pos FROM rel")
-_add("context_sections", [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND,
+_SECTION_CTES = [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND,
   """outs AS (SELECT source AS id, string_agg(label, ', ' ORDER BY n) AS o FROM (SELECT e.source, label, row_number() OVER (PARTITION BY e.source ORDER BY e.ord) AS n
        FROM edges e JOIN rel ON rel.id = e.source JOIN nodes t ON t.id = e.target QUALIFY n <= 3) GROUP BY source),
 ins AS (SELECT target AS id, string_agg(label, ', ' ORDER BY n) AS i FROM (SELECT e.target, label, row_number() OVER (PARTITION BY e.target ORDER BY e.ord) AS n
        FROM edges e JOIN rel ON rel.id = e.target JOIN nodes s ON s.id = e.source QUALIFY n <= 2) GROUP BY target),
 lines AS (SELECT pos, file, CASE WHEN type = 'file' THEN '├ 📁 ' ELSE '  ├ ⚙️ ' END || label || ' (' || type || ')' || coalesce(' → ' || o, '') || coalesce(' ← ' || i, '') AS line
-       FROM rel JOIN nodes USING (id) LEFT JOIN outs USING (id) LEFT JOIN ins USING (id))"""],
-  """SELECT min(pos) AS section_ord, file AS section_key, 'file' AS kind, count(*) AS node_count,
-     '📄 ' || file || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY file""")
-_add("budget_fill", ["c AS (SELECT doc_id AS section_ord, lang, CAST(ceil(length(text) / 4.0) + 2 AS BIGINT) AS cost FROM documents)"],
-     """SELECT section_ord, lang, cost, CAST(sum(cost) OVER w AS BIGINT) AS used, sum(cost) OVER w <= 5000 OR row_number() OVER w = 1 AS included
-        FROM c WINDOW w AS (PARTITION BY lang ORDER BY section_ord)""")
+       FROM rel JOIN nodes USING (id) LEFT JOIN outs USING (id) LEFT JOIN ins USING (id))""",
+  """sections AS (SELECT min(pos) AS section_ord, file AS section_key, 'file' AS kind, count(*) AS node_count,
+     '📄 ' || file || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY file)"""]
+_add("context_sections", _SECTION_CTES, "SELECT * FROM sections")
+_add("budget_fill", _SECTION_CTES, """SELECT section_ord, section_key, CAST(ceil(length(text) / 4.0) + 2 AS BIGINT) AS cost, CAST(sum(ceil(length(text) / 4.0) + 2) OVER w AS BIGINT) AS used,
+   sum(ceil(length(text) / 4.0) + 2) OVER w <= 200 OR row_number() OVER w = 1 AS included FROM sections WINDOW w AS (ORDER BY section_ord)""")
 _add("embedding_text", [graph(),
   """outs AS (SELECT source AS id, string_agg(label, ', ' ORDER BY n) AS o FROM (SELECT e.source, label, row_number() OVER (PARTITION BY e.source ORDER BY e.ord) AS n
        FROM edges e JOIN nodes t ON t.id = e.target QUALIFY n <= 5) GROUP BY source),
@@ -362,3 +362,87 @@ _add("incremental_edges", [graph(), _INCR], """SELECT min(ord) AS ord, source, t
   SELECT * FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM nn)
   UNION ALL SELECT * FROM defines WHERE target IN (SELECT id FROM fresh)) GROUP BY source, target, relation""")
 _add("incremental_nodes", [graph(), _INCR], "SELECT ord, id, label, type, file FROM nn")
+
+# --- telemetry, sessions, evaluation -------------------------------------
+
+_add("tool_metrics", ["c AS (SELECT event_type AS tool, value AS d, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)",
+  """m AS (SELECT tool, d, event_type_ok AS ok, CASE WHEN k % 3 <> 0 THEN k END AS t, CASE WHEN tool = 'view' THEN k % 2 = 0 END AS h,
+        CASE WHEN tool IN ('view', 'click') THEN k > 50 END AS tr FROM (SELECT *, tool <> 'error' AS event_type_ok FROM c))""",
+  "l AS (SELECT tool, list(d ORDER BY d) AS ds FROM m GROUP BY tool)"],
+  """SELECT tool, count(*) AS calls, round(avg(CAST(ok AS INT)), 9) AS success_rate,
+     any_value(ds[CAST(least(len(ds) - 1, floor(0.5 * len(ds))) AS INT) + 1]) AS p50_duration_ms,
+     any_value(ds[CAST(least(len(ds) - 1, floor(0.95 * len(ds))) AS INT) + 1]) AS p95_duration_ms,
+     round(avg(t), 9) AS mean_approx_tokens, round(avg(CAST(h AS INT)), 9) AS cache_hit_rate, round(avg(CAST(tr AS INT)), 9) AS truncation_rate
+     FROM m JOIN l USING (tool) GROUP BY tool""")
+_add("debounce_batches", ["g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts))",
+  "s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)"],
+  "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, session")
+_KW = "list_filter(string_split_regex(lower(text), '[\\s\\-_./]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(repr(w) for w in STOP_WORDS) + "], w))"
+TURNS = f"turns AS (SELECT conv_id, turn, turn * turn * 60 AS at_s, {_KW} AS kw, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user' AND len({_KW}) > 0)"
+_OVER = "len(list_filter({a}, lambda k: list_contains({b}, k))) / CAST(len(list_distinct(list_concat({a}, {b}))) AS DOUBLE)"
+_add("session_cache", [TURNS, f"""fold AS (
+  SELECT conv_id, turn, at_s, rn, kw, false AS cache_hit FROM turns WHERE rn = 1
+  UNION ALL
+  SELECT t.conv_id, t.turn, t.at_s, t.rn, CASE WHEN {_OVER.format(a='t.kw', b='f.kw')} >= 0.5 AND t.at_s - f.at_s <= 300 THEN f.kw ELSE t.kw END,
+    {_OVER.format(a='t.kw', b='f.kw')} >= 0.5 AND t.at_s - f.at_s <= 300
+  FROM fold f JOIN turns t ON t.conv_id = f.conv_id AND t.rn = f.rn + 1)"""], "SELECT conv_id, turn, cache_hit FROM fold", True)
+_add("keyword_overlap_sessions", [f"t AS (SELECT conv_id, turn, {_KW} AS kw FROM conversations WHERE role = 'user')"],
+  f"""SELECT a.conv_id, a.turn, round(CASE WHEN len(a.kw) = 0 OR len(b.kw) = 0 THEN 0.0 ELSE {_OVER.format(a='b.kw', b='a.kw')} END, 9) AS overlap
+      FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2""")
+_IR = """lines AS (SELECT l_orderkey AS query_id, l_partkey AS id, max(l_returnflag) = 'R' AS rel,
+   row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_partkey) AS rank FROM lineitem GROUP BY l_orderkey, l_partkey),
+q AS (SELECT query_id, count(*) FILTER (rel) AS nr, count(*) FILTER (rel AND rank <= 2) AS h2, count(*) FILTER (rel AND rank <= 5) AS h5,
+   count(*) FILTER (rank <= 2) AS n2, count(*) FILTER (rank <= 5) AS n5, min(rank) FILTER (rel) AS f,
+   sum(CASE WHEN rel AND rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM lines GROUP BY query_id),
+m AS (SELECT query_id, CASE WHEN nr = 0 THEN 1 ELSE h2 / nr END AS recall_at_2, CASE WHEN nr = 0 THEN 1 ELSE h5 / nr END AS recall_at_5,
+   h2 / n2 AS precision_at_2, h5 / n5 AS precision_at_5, coalesce(1.0::DOUBLE / f, 0) AS reciprocal_rank,
+   CASE WHEN nr = 0 THEN 1 ELSE dcg / list_sum(list_transform(range(1, least(nr, 5) + 1), lambda i: 1 / log2(i + 1))) END AS ndcg_at_5 FROM q)"""
+_IRC = ["recall_at_2", "recall_at_5", "precision_at_2", "precision_at_5", "reciprocal_rank", "ndcg_at_5"]
+_add("ir_metrics", [_IR], "SELECT query_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in _IRC) + " FROM m")
+_add("ir_means", [_IR], "SELECT " + ", ".join(f"round(avg({c}), 7) AS {c}" for c in _IRC) + " FROM m")
+_ACC = """sc AS (SELECT doc_id, source, lang, (CAST(contains(lower(text), 'tion') AS INT) + CAST(contains(lower(text), 'the of') AS INT)
+   + CAST(regexp_matches(text, '(?i)\\band\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bque\\b') AS INT)) / 4.0::DOUBLE AS r,
+   least(1.0, 600 / CAST(greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')), 1) AS DOUBLE)) AS p FROM documents),
+acc AS (SELECT doc_id, source, lang, CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END * 100 AS a FROM sc)"""
+_add("accuracy_scores", [_ACC], "SELECT doc_id, round(a, 9) AS accuracy FROM acc")
+_add("accuracy_stderr", [_ACC], "SELECT source, lang, count(*) AS n, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_samp(a) / sqrt(count(*)) END, 6) AS std_err FROM acc GROUP BY source, lang")
+_add("benchmark_summary", ["r AS (SELECT (n_chars % 200 - 100) / 100.0::DOUBLE AS tr, quality * 10.0::DOUBLE AS g, n_chars AS b, n_chars - n_chars % 37 AS w, (quality * 50.0::DOUBLE + 25) / 100 AS c, toxic * 0.5::DOUBLE AS e FROM documents JOIN labels USING (doc_id))"],
+  """SELECT count(*) AS questions_run, round(avg(tr), 6) AS avg_token_reduction, round(avg(g), 6) AS avg_accuracy_gain, CAST(sum(b) AS BIGINT) AS total_baseline_tokens,
+     CAST(sum(w) AS BIGINT) AS total_with_graph_tokens, CAST(sum(b) - sum(w) AS BIGINT) AS tokens_saved, count(*) FILTER (tr > 0.1) AS helped,
+     count(*) FILTER (tr <= 0.1 AND tr > -0.1) AS neutral, count(*) FILTER (tr <= -0.1) AS hurt, round(sum(w) / sum(c), 6) AS tokens_per_correct_answer,
+     round(sqrt(sum(pow(w * e, 2))) * sum(w) / pow(sum(c), 2), 6) AS tokens_per_correct_std_err FROM r""")
+_add("version_order", ["v AS (SELECT DISTINCT (o_custkey % 3) || '.' || (o_orderkey % 17) || '.' || (o_orderkey % 5) AS version FROM orders)"],
+  "SELECT version, lag(version) OVER (ORDER BY list_transform(string_split(version, '.'), lambda p: CAST(p AS INT))) AS previous FROM v")
+
+# --- paths, positions ----------------------------------------------------
+
+TREE = """tree AS (SELECT p_partkey AS k, p_partkey % 5 AS lang, lower(replace(p_brand, '#', '')) AS br, lower(p_type) AS ty FROM part),
+tid AS (SELECT k, lang, br, ty, regexp_replace(lower(regexp_replace(CASE lang
+  WHEN 0 THEN 'app/src/main/java/com/acme/' || br || '/' || ty || '/Part' || k || CASE WHEN k % 2 = 0 THEN '.java' ELSE '.kt' END
+  WHEN 1 THEN 'py/acme/' || br || '/' || ty || '/part' || k || CASE WHEN k % 10 = 1 THEN '.py' ELSE '/__init__.py' END
+  WHEN 2 THEN 'web/' || br || '/' || ty || '/part' || k || CASE WHEN k % 10 = 2 THEN '/index.ts' ELSE '.tsx' END
+  WHEN 3 THEN 'go/' || br || '/' || ty || '/part' || k || '.go'
+  ELSE 'ios/' || br || '/' || ty || '/Part' || k || CASE WHEN k % 10 = 4 THEN '.h' ELSE '.swift' END END, '[^a-zA-Z0-9_]', '_', 'g')), '_+', '_', 'g') AS id FROM tree)"""
+_add("resolve_imports", [TREE], """SELECT DISTINCT a.id AS source, t.id AS target FROM tid a JOIN tid b ON b.k = a.k + 5 JOIN tid t ON
+  CASE WHEN a.lang = 3 OR (a.lang = 0 AND a.k % 50 = 0) THEN t.lang = a.lang AND t.br = b.br AND t.ty = b.ty ELSE t.k = b.k END WHERE a.id <> t.id""")
+_add("source_sets", ["x AS (SELECT 1)"], """SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN ['commonMain', 'iosMain', 'jvmTest'][p_partkey % 3 + 1] END AS source_set,
+  CASE WHEN p_partkey % 4 <> 0 THEN p_brand || '/core' END AS module FROM part""")
+_add("expect_actual_pairs", ["""d AS (SELECT p_partkey AS k, p_partkey // 6 AS b, CASE WHEN (p_partkey // 6) % 5 <> 0 THEN 'mod' || p_partkey // 60 END AS module,
+  CASE p_partkey % 3 WHEN 0 THEN 'commonMain' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'iosMain' ELSE 'androidMain' END ELSE 'jvmTest' END AS ss FROM part)"""],
+  """SELECT 'n_' || a.k AS source, 'n_' || e.k AS target FROM d a JOIN d e ON a.b = e.b AND a.module IS NOT DISTINCT FROM e.module
+     WHERE a.k % 3 <> 0 AND e.k % 3 = 0 AND (a.ss = e.ss OR a.ss IN ('iosMain', 'androidMain') AND e.ss = 'commonMain')""")
+_add("nearest_declaration", [FILES, KEYS, CALLABLES, "probes AS (SELECT DISTINCT file, l_linenumber * 57 AS line FROM lineitem JOIN files ON id = 'part_' || l_partkey)"],
+  """SELECT p.file, CAST(p.line AS INT) AS line, coalesce(arg_max(c.id, row(c.line, -c.ord)) FILTER (c.line - 1 <= p.line), any_value(f.id)) AS node_id
+     FROM probes p LEFT JOIN callables c ON c.file = p.file JOIN files f ON f.file = p.file GROUP BY p.file, p.line""")
+_add("code_lenses", [graph()], """SELECT c.id, c.file, c.line - 1 AS line, coalesce(n, 0) || CASE WHEN coalesce(n, 0) = 1 THEN ' dependent' ELSE ' dependents' END || ' · complexity ' || complexity AS title
+  FROM callables c LEFT JOIN (SELECT target, count(*) AS n FROM edges GROUP BY target) ON target = c.id""")
+_add("workspace_symbols", [KEYS, CALLABLES], "SELECT ord, id, label, type, file FROM callables WHERE contains(lower(label), 'part12') ORDER BY ord LIMIT 100")
+_add("viewer_search", [graph()], "SELECT ord, id, label, type, file FROM nodes WHERE contains(lower(label), 'ring') OR contains(lower(file), 'ring') ORDER BY ord LIMIT 20")
+_add("document_symbols", [FILES, KEYS, CALLABLES], "SELECT c.id, c.label, c.line - 1 AS line FROM callables c JOIN files f ON f.file = c.file WHERE f.id = 'part_14'")
+_add("graph_diagnostics", [FILES, imports(28), GROUPED, RULES], f"""SELECT source AS node_id, source_file AS file, 'violation' AS kind,
+    'Architecture violation: ' || source_file || ' (' || from_group || ') imports ' || target_file || ' (' || to_group || ')' AS message
+  FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
+  UNION ALL SELECT id, file, 'unreachable', 'Unreachable file — no other file imports ' || file FROM files f
+  WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
+    AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
+      AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))""")

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import identifiers as I
 from graphloom.functions import signatures as S
 from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
 from graphloom.operators import clusters as C
-from graphloom.operators import diff, layers, quality, reachability, retrieval, similarity, stats
+from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, telemetry
 from graphloom.plans import derived as D
 
 QUERIES: dict[str, Callable] = {}
@@ -296,14 +295,8 @@ def context_sections(spark, sf) -> DataFrame:
 
 @query
 def budget_fill(spark, sf) -> DataFrame:
-    d = D.table(spark, sf, "documents")
-    sections = d.select(F.col("doc_id").alias("section_ord"), "lang", "text")
-    cost = F.ceil(F.length("text") / F.lit(4)) + 2
-    # Budget per language: the greedy prefix over each language's documents.
-    w = W.partitionBy("lang").orderBy("section_ord")
-    used = sections.select("section_ord", "lang", cost.cast("long").alias("cost"))
-    run = used.withColumn("used", F.sum("cost").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return run.select("section_ord", "lang", "cost", "used", ((F.col("used") <= 5000) | (F.row_number().over(w) == 1)).alias("included"))
+    filled = retrieval.fill_to_budget(context_sections(spark, sf), 200)
+    return filled.select("section_ord", "section_key", "cost", "used", "included")
 
 
 @query
@@ -402,3 +395,213 @@ def incremental_nodes(spark, sf) -> DataFrame:
     fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
     fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")
     return diff.carry_over(g, touched.select("path"), fresh_nodes, fresh_edges).nodes.select("ord", "id", "label", "type", "file")
+
+
+# --- telemetry, sessions, evaluation -------------------------------------
+
+def _tool_calls(spark, sf) -> DataFrame:
+    e = D.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(
+        F.col("event_type").alias("tool"), F.col("value").alias("duration_ms"), (F.col("event_type") != "error").alias("success"),
+        F.when(k % 3 != 0, k).alias("approx_tokens"),
+        F.when(F.col("event_type") == "view", k % 2 == 0).alias("cache_hit"),
+        F.when(F.col("event_type").isin("view", "click"), k > 50).alias("truncated"),
+    )
+
+
+@query
+def tool_metrics(spark, sf) -> DataFrame:
+    m = telemetry.tool_metrics(_tool_calls(spark, sf))
+    return m.select("tool", "calls", "p50_duration_ms", "p95_duration_ms",
+                    *[F.round(c, 9).alias(c) for c in ("success_rate", "mean_approx_tokens", "cache_hit_rate", "truncation_rate")])
+
+
+@query
+def debounce_batches(spark, sf) -> DataFrame:
+    e = D.table(spark, sf, "events").select("user_id", "ts")
+    d = telemetry.debounce(e, "user_id", "ts", quiet_seconds=7200, slice_seconds=86_400)
+    return d.select("user_id", "session", "events", *[F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us") for c in ("first", "last")])
+
+
+def _user_turns(spark, sf) -> DataFrame:
+    c = D.table(spark, sf, "conversations").where(F.col("role") == "user")
+    # Turns get further apart, so that some pauses outlive the cache.
+    return c.select("conv_id", "turn", (F.col("turn") * F.col("turn") * 60).alias("at"), I.keywords_of("text").alias("keywords"))
+
+
+@query
+def session_cache(spark, sf) -> DataFrame:
+    hits = telemetry.session_cache_hits(_user_turns(spark, sf), "conv_id", "at", "turn")
+    return hits.select("conv_id", "turn", "cache_hit")
+
+
+@query
+def keyword_overlap_sessions(spark, sf) -> DataFrame:
+    t = _user_turns(spark, sf)
+    nxt = t.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("keywords").alias("next_keywords"))
+    pair = t.join(nxt, ["conv_id", "turn"])
+    return pair.select("conv_id", "turn", F.round(telemetry.keyword_overlap(F.col("next_keywords"), F.col("keywords")), 9).alias("overlap"))
+
+
+def _ranked_lines(spark, sf):
+    li = D.table(spark, sf, "lineitem")
+    best = li.groupBy("l_orderkey", "l_partkey").agg(F.max("l_extendedprice").alias("price"), F.max("l_returnflag").alias("flag"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("price"), "l_partkey"))
+    lines = best.select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), rank.alias("rank"), "flag")
+    return lines.select("query_id", "id", "rank"), lines.where("flag = 'R'").select("query_id", "id")
+
+
+@query
+def ir_metrics(spark, sf) -> DataFrame:
+    ranked, relevant = _ranked_lines(spark, sf)
+    m = evaluation.ir_metrics(ranked, relevant, ranked, cuts=(2, 5), ndcg_at=5)
+    return m.select("query_id", *[F.round(c, 9).alias(c) for c in m.columns if c != "query_id"])
+
+
+@query
+def ir_means(spark, sf) -> DataFrame:
+    ranked, relevant = _ranked_lines(spark, sf)
+    m = evaluation.ir_means(evaluation.ir_metrics(ranked, relevant, ranked, cuts=(2, 5), ndcg_at=5))
+    return m.select(*[F.round(c, 7).alias(c) for c in m.columns])
+
+
+@query
+def accuracy_scores(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    found = evaluation.found_elements(F.col("text"), ["tion", "the of"], ["and", "que"])
+    return d.select("doc_id", F.round(evaluation.accuracy(F.col("text"), found, F.lit(4)), 9).alias("accuracy"))
+
+
+@query
+def accuracy_stderr(spark, sf) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    found = evaluation.found_elements(F.col("text"), ["tion", "the of"], ["and", "que"])
+    scored = d.select("source", "lang", evaluation.accuracy(F.col("text"), found, F.lit(4)).alias("a"))
+    return scored.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(evaluation.standard_error("a"), 6).alias("std_err"))
+
+
+@query
+def benchmark_summary(spark, sf) -> DataFrame:
+    j = D.table(spark, sf, "documents").join(D.table(spark, sf, "labels"), "doc_id")
+    results = j.select(
+        ((F.col("n_chars") % 200 - 100) / 100.0).alias("token_reduction"), (F.col("quality") * 10.0).alias("accuracy_gain"),
+        F.col("n_chars").alias("baseline_tokens"), (F.col("n_chars") - F.col("n_chars") % 37).alias("with_graph_tokens"),
+        (F.col("quality") * 50.0 + 25).alias("with_graph_accuracy"), (F.col("toxic") * 0.5).alias("accuracy_std_err"))
+    s = evaluation.benchmark_summary(results)
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+@query
+def version_order(spark, sf) -> DataFrame:
+    v = D.table(spark, sf, "orders").select(F.concat_ws(".", F.col("o_custkey") % 3, F.col("o_orderkey") % 17, F.col("o_orderkey") % 5).alias("version")).distinct()
+    w = Window.orderBy("_v")
+    # At most 255 distinct versions whatever the table size.
+    return v.withColumn("_v", I.version_array("version")).select("version", F.lag("version").over(w).alias("previous"))
+
+
+# --- paths, positions ----------------------------------------------------
+
+def _source_tree(spark, sf) -> DataFrame:
+    """A file per part, spread over five languages."""
+    p = D.table(spark, sf, "part")
+    k, ty = F.col("p_partkey"), F.lower("p_type")
+    br = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    lang = k % 5
+    path = (
+        F.when(lang == 0, F.concat(F.lit("app/src/main/java/com/acme/"), br, F.lit("/"), ty, F.lit("/Part"), k, F.when(k % 2 == 0, ".java").otherwise(".kt")))
+        .when(lang == 1, F.concat(F.lit("py/acme/"), br, F.lit("/"), ty, F.lit("/part"), k, F.when(k % 10 == 1, ".py").otherwise("/__init__.py")))
+        .when(lang == 2, F.concat(F.lit("web/"), br, F.lit("/"), ty, F.lit("/part"), k, F.when(k % 10 == 2, "/index.ts").otherwise(".tsx")))
+        .when(lang == 3, F.concat(F.lit("go/"), br, F.lit("/"), ty, F.lit("/part"), k, F.lit(".go")))
+        .otherwise(F.concat(F.lit("ios/"), br, F.lit("/"), ty, F.lit("/Part"), k, F.when(k % 10 == 4, ".h").otherwise(".swift")))
+    )
+    return p.select(k.cast("long").alias("ord"), path.alias("file"), I.file_id(path).alias("id"), lang.alias("lang"), br.alias("br"), ty.alias("ty"))
+
+
+def _raw_imports(spark, sf) -> DataFrame:
+    t = _source_tree(spark, sf)
+    a = t.select(F.col("ord").alias("a"), F.col("file").alias("file_path"), "lang")
+    b = t.select(F.col("ord").alias("b"), "br", "ty")
+    j = a.join(b, b.b == a.a + 5)
+    k = F.col("b")
+    spec = (
+        F.when(F.col("lang") == 0, F.when(F.col("a") % 50 == 0, F.concat(F.lit("com.acme."), "br", F.lit("."), "ty", F.lit(".*")))
+               .otherwise(F.concat(F.lit("com.acme."), "br", F.lit("."), "ty", F.lit(".Part"), k, F.when(k % 15 == 0, ".Companion.x").otherwise(""))))
+        .when(F.col("lang") == 1, F.when(F.col("a") % 3 == 0, F.concat(F.when(F.col("file_path").endswith("__init__.py"), "....").otherwise("..."), "br", F.lit("."), "ty", F.lit(".part"), k))
+              .otherwise(F.concat(F.lit("acme."), "br", F.lit("."), "ty", F.lit(".part"), k, F.lit(".name"))))
+        .when(F.col("lang") == 2, F.concat(F.when(F.col("file_path").endswith("/index.ts"), "../../../").otherwise("../../"), "br", F.lit("/"), "ty", F.lit("/part"), k))
+        .when(F.col("lang") == 3, F.concat(F.lit("example.com/mod/go/"), "br", F.lit("/"), "ty"))
+        .otherwise(F.concat(F.lit("Part"), k, F.lit(".h")))
+    )
+    return j.select("file_path", spec.alias("specifier"))
+
+
+@query
+def resolve_imports(spark, sf) -> DataFrame:
+    return resolve.import_edges(_raw_imports(spark, sf), _source_tree(spark, sf).select("ord", "id", "file"))
+
+
+@query
+def source_sets(spark, sf) -> DataFrame:
+    p = D.table(spark, sf, "part")
+    path = F.concat(F.col("p_brand"), F.lit("/core\\src/"), F.element_at(F.array(*[F.lit(s) for s in ("commonMain", "iosMain", "jvmTest")]), (F.col("p_partkey") % 3 + 1).cast("int")),
+                    F.when(F.col("p_partkey") % 4 == 0, "/resources/").otherwise("/kotlin/"), F.col("p_partkey"), F.lit(".kt"))
+    return p.select("p_partkey", I.source_set(path).alias("source_set"), I.module_of(path).alias("module"))
+
+
+@query
+def expect_actual_pairs(spark, sf) -> DataFrame:
+    p = D.table(spark, sf, "part")
+    k = F.col("p_partkey")
+    role = k % 3
+    nodes = p.select(
+        k.cast("long").alias("ord"), F.concat(F.lit("n_"), k).alias("id"),
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.floor(k / 6)).alias("label"),
+        F.when(F.floor(k / 6) % 4 == 0, "class").otherwise("function").alias("type"),
+        F.when(F.floor(k / 6) % 5 != 0, F.concat(F.lit("mod"), F.floor(k / 60))).alias("module"),
+        F.when(role == 0, "commonMain").when(role == 1, F.when(k % 2 == 0, "iosMain").otherwise("androidMain")).otherwise("jvmTest").alias("source_set"),
+        F.when(role == 0, "expect").otherwise("actual").alias("platform_modifier"),
+    )
+    # Labels repeat inside a block of six parts.
+    nodes = nodes.withColumn("label", F.concat(F.lit("decl"), F.floor(F.col("ord") / 6)))
+    nodes = conform(nodes, NODE_SCHEMA)
+    edges = D.document_calls(spark, sf)
+    return expect_actual.actualizes(PropertyGraph(nodes, edges))
+
+
+@query
+def nearest_declaration(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    li = D.table(spark, sf, "lineitem").select("l_partkey", (F.col("l_linenumber") * 57).alias("line")).distinct()
+    f = D.files(spark, sf).select("partkey", "file")
+    return positions.nearest_declaration(g, li.join(f, li.l_partkey == f.partkey).select("file", "line"))
+
+
+@query
+def code_lenses(spark, sf) -> DataFrame:
+    return positions.code_lenses(D.code_graph(spark, sf))
+
+
+@query
+def workspace_symbols(spark, sf) -> DataFrame:
+    return positions.workspace_symbols(D.code_graph(spark, sf), "PART12")
+
+
+@query
+def viewer_search(spark, sf) -> DataFrame:
+    return positions.viewer_search(D.code_graph(spark, sf), "ring")
+
+
+@query
+def document_symbols(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf)
+    path = D.files(spark, sf).where("partkey = 14").select("file")
+    rows = g.nodes.join(path, "file", "left_semi").where(F.col("type") != "file")
+    return rows.select("id", "label", positions.node_line().alias("line"))
+
+
+@query
+def graph_diagnostics(spark, sf) -> DataFrame:
+    """Unreachable files and rule violations, as messages on files."""
+    g = D.code_graph(spark, sf)
+    return positions.diagnostics(g, rules=layers.rules_table(spark, RULES))
