@@ -106,7 +106,7 @@ def similarity(a, b) -> Column:
 def word_tokens(text) -> Column:
     """Lower-case words of a text."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower)
+    return F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def shape_tokens(text) -> Column:

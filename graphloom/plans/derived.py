@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import identifiers as I
 from graphloom.functions import signatures as S
 from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
+from graphloom.session import cut, spread
 
 CALLABLE_ORD = 1 << 50
 IMPORT_ORD = 1 << 60
@@ -156,7 +157,7 @@ def import_graph(spark: SparkSession, sf_dir: str, q: int) -> PropertyGraph:
 
 def document_nodes(spark: SparkSession, sf_dir: str, signatures: bool = True) -> DataFrame:
     """A function node per document, hashed over its whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     words = S.word_tokens("text")
     return d.select(
         F.col("doc_id").cast("long").alias("ord"),
@@ -187,8 +188,9 @@ def document_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_graph(spark: SparkSession, sf_dir: str, signatures: bool = True) -> PropertyGraph:
+    # Hash every text once; the analyses then read the stored node table.
     return PropertyGraph(
-        conform(document_nodes(spark, sf_dir, signatures), NODE_SCHEMA),
+        cut(conform(document_nodes(spark, sf_dir, signatures), NODE_SCHEMA)),
         conform(document_calls(spark, sf_dir), EDGE_SCHEMA),
         project="documents",
     )

@@ -13,6 +13,7 @@ from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
 from graphloom.operators import clusters as C
 from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, telemetry
 from graphloom.plans import derived as D
+from graphloom.session import spread
 
 QUERIES: dict[str, Callable] = {}
 
@@ -195,13 +196,13 @@ def duplicate_groups_no_shared_helper(spark, sf) -> DataFrame:
 
 @query
 def shape_hash(spark, sf) -> DataFrame:
-    d = D.table(spark, sf, "documents")
+    d = spread(D.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", S.duplicate_hash(S.shape_tokens("text")).alias("shape_hash"))
 
 
 @query
 def minhash_signature(spark, sf) -> DataFrame:
-    d = D.table(spark, sf, "documents")
+    d = spread(D.table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", S.lanes_to_hex(S.signature_lanes(S.word_tokens("text"))).alias("signature"))
 
 

@@ -75,6 +75,15 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than cores before heavy row work.
+
+    A large table already has more partitions than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Contiguous 0-based positions in a total order, without a global window.
 
