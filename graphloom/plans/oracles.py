@@ -446,3 +446,17 @@ _add("graph_diagnostics", [FILES, imports(28), GROUPED, RULES], f"""SELECT sourc
   WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
     AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
       AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))""")
+
+# --- parsing -------------------------------------------------------------
+
+PARSED = """p AS (SELECT l_orderkey AS o, l_partkey AS k, max(l_linenumber) AS n,
+    ['py', 'go', 'ts', 'js', 'kt', 'swift', 'java', 'm'][l_orderkey % 8 + 1] AS ext FROM lineitem GROUP BY ALL),
+q AS (SELECT *, 'orders_o' || o || '_' || ext AS fid, 'orders_o' || o || '_' || ext || CASE WHEN ext = 'java' THEN '__order_fn' ELSE '__fn' END || k AS id,
+    lag(k) OVER (PARTITION BY o ORDER BY k) AS prev FROM p)"""
+_add("parsed_callables", [PARSED], """SELECT id, 'fn' || k AS label, CASE WHEN ext = 'java' THEN 'method' ELSE 'function' END AS type, 'orders/o' || o || '.' || ext AS file,
+  CAST(1 + n AS INT) AS complexity, CAST(n AS INT) AS cognitive_complexity FROM q""")
+_add("parsed_edges", [PARSED], """SELECT CASE WHEN ext = 'java' THEN fid || '__order' ELSE fid END AS source, id AS target, 'defines' AS relation FROM q
+  UNION ALL SELECT DISTINCT fid, fid || '__order', 'defines' FROM q WHERE ext = 'java'
+  UNION ALL SELECT q.id, r.id, 'calls' FROM q JOIN q r ON q.o = r.o AND q.prev = r.k""")
+_add("parsed_imports", [PARSED], """SELECT DISTINCT 'orders/o' || o || '.' || ext AS file_path, unnest(CASE ext WHEN 'py' THEN ['os', 'sys'] WHEN 'go' THEN [] WHEN 'ts' THEN ['./x'] WHEN 'js' THEN ['./y']
+  WHEN 'kt' THEN ['com.acme.Thing'] WHEN 'swift' THEN ['UIKit'] WHEN 'java' THEN ['java.util.List'] ELSE ['Thing.h'] END) AS specifier FROM q""")

@@ -13,7 +13,9 @@ from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
 from graphloom.operators import clusters as C
 from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, telemetry
 from graphloom.plans import derived as D
+from graphloom.plans.derived_source import order_sources
 from graphloom.session import spread
+from graphloom.sources import parse
 
 QUERIES: dict[str, Callable] = {}
 
@@ -606,3 +608,21 @@ def graph_diagnostics(spark, sf) -> DataFrame:
     """Unreachable files and rule violations, as messages on files."""
     g = D.code_graph(spark, sf)
     return positions.diagnostics(g, rules=layers.rules_table(spark, RULES))
+
+
+# --- parsing -------------------------------------------------------------
+
+@query
+def parsed_callables(spark, sf) -> DataFrame:
+    nodes = parse.parse(order_sources(spark, sf))["nodes"]
+    return nodes.where(F.col("type").isin("function", "method")).select("id", "label", "type", "file", "complexity", "cognitive_complexity")
+
+
+@query
+def parsed_edges(spark, sf) -> DataFrame:
+    return parse.parse(order_sources(spark, sf))["edges"].select("source", "target", "relation")
+
+
+@query
+def parsed_imports(spark, sf) -> DataFrame:
+    return parse.parse(order_sources(spark, sf))["imports"]
