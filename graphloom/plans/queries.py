@@ -625,4 +625,5 @@ def parsed_edges(spark, sf) -> DataFrame:
 
 @query
 def parsed_imports(spark, sf) -> DataFrame:
-    return parse.parse(order_sources(spark, sf))["imports"]
+    src = order_sources(spark, sf)
+    return parse.raw_imports(src.withColumn("lang", parse.language(F.col("ext"))))
