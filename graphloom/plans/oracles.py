@@ -460,3 +460,10 @@ _add("parsed_edges", [PARSED], """SELECT CASE WHEN ext = 'java' THEN fid || '__o
   UNION ALL SELECT q.id, r.id, 'calls' FROM q JOIN q r ON q.o = r.o AND q.prev = r.k""")
 _add("parsed_imports", [PARSED], """SELECT DISTINCT 'orders/o' || o || '.' || ext AS file_path, unnest(CASE ext WHEN 'py' THEN ['os', 'sys'] WHEN 'go' THEN [] WHEN 'ts' THEN ['./x'] WHEN 'js' THEN ['./y']
   WHEN 'kt' THEN ['com.acme.Thing'] WHEN 'swift' THEN ['UIKit'] WHEN 'java' THEN ['java.util.List'] ELSE ['Thing.h'] END) AS specifier FROM q""")
+_add("suggestions_by_kind", [FILES, KEYS, CALLABLES, imports(38), GROUPED, RULES, CLOSURE, SCC], f"""SELECT * FROM (
+  SELECT 'cycle' AS kind, count(DISTINCT scc_id) AS suggestions FROM scc
+  UNION ALL SELECT 'architecture-violation', count(*) FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
+  UNION ALL SELECT 'high-complexity', count(*) FROM callables WHERE complexity >= 4
+  UNION ALL SELECT 'dead-code', count(*) FROM files f WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
+    AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
+      AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))) WHERE suggestions > 0""", True)

@@ -11,7 +11,7 @@ from graphloom.functions import identifiers as I
 from graphloom.functions import signatures as S
 from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
 from graphloom.operators import clusters as C
-from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, telemetry
+from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, suggestions, telemetry
 from graphloom.plans import derived as D
 from graphloom.plans.derived_source import order_sources
 from graphloom.session import spread
@@ -627,3 +627,10 @@ def parsed_edges(spark, sf) -> DataFrame:
 def parsed_imports(spark, sf) -> DataFrame:
     src = order_sources(spark, sf)
     return parse.raw_imports(src.withColumn("lang", parse.language(F.col("ext"))))
+
+
+@query
+def suggestions_by_kind(spark, sf) -> DataFrame:
+    g = D.code_graph(spark, sf, q=38)
+    found = suggestions.suggest_refactoring(g, layers.rules_table(spark, RULES), complexity_threshold=4)
+    return suggestions.counts_by_kind(found)
