@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import common, exact_dedup, minhash, simhash, url_filter
-from graphloom.session import cut
+from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, quality, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -35,16 +35,58 @@ def op1_url_filter(spark, sf) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rule_table(spark, URL_RULES), model)
 
 
+@query
+def op2_quality_classifier(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_line_dedup(spark, sf) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf, "documents")).select("doc_id", "text", "removed_lines", "removed_words", "partners")
+
+
 @query
 def op4_simhash_groups(spark, sf) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"))
 
 
+@query
+def op5_byte_bpe(spark, sf) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks), ranks))
+
+
 @query
 def op6_minhash_fingerprints(spark, sf) -> DataFrame:
     return minhash.fingerprint_pairs(table(spark, sf, "documents"))
 
 
+@query
+def op7_packing(spark, sf) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query
+def op8_html_main_text(spark, sf) -> DataFrame:
+    return html_text.main_texts(table(spark, sf, "pages"))
+
+
 @query
 def op9_exact_groups(spark, sf) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf, "documents"))
+
+
+@query
+def op10_token_files(spark, sf) -> DataFrame:
+    return token_files.digests(token_files.write(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+_KEYED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
+ORACLES["op9_exact_groups"] = f"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_KEYED} AS norm FROM documents),
+    r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+                 row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+    SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM r"""
