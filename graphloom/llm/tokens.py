@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +16,6 @@ from tokenizers import Tokenizer
 
 # The characters of property White_Space (what \s means to the tokenizer's own pattern engine).
 SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
-PRETOKEN = regex.compile(public_tokenizers.PATTERN.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]"))
 _SAFE_CUT = regex.compile(rf"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
@@ -30,16 +30,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def json_ranks(path: str) -> dict[bytes, int]:
-    """The same of a byte-level BPE in a tokenizers file whose ids follow its merges, without its special tokens.
+def _printable() -> dict[int, str]:
+    """Byte-level files name bytes by characters: those printable in Latin-1 by themselves, the others in order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    Such files name bytes by printable characters: those printable in Latin-1 by themselves, the others
-    in order from U+0100 on.
-    """
+
+def _with_space(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]"))
+
+
+PRETOKEN = _with_space(public_tokenizers.PATTERN)
+
+
+def _split_pattern(path: str) -> tuple[regex.Pattern, dict[int, str]]:
+    """The pre-token pattern of a file whose pre-tokenizer keeps a pattern's matches and then names bytes."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    split, level = spec["pre_tokenizer"]["pretokenizers"]
+    if not (split["type"] == "Split" and split["invert"] and split["behavior"] == "Removed" and level["type"] == "ByteLevel" and not level["add_prefix_space"]):
+        raise ValueError("another kind of pre-tokenizer")
+    return _with_space(split["pattern"]["Regex"]), _printable()
+
+
+def json_ranks(path: str) -> dict[bytes, int]:
+    """The same of a byte-level BPE in a tokenizers file whose ids follow its merges, without its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of = {c: b for b, c in _printable().items()}
     special = {t["content"] for t in spec["added_tokens"]}
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
@@ -76,23 +94,42 @@ def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
         yield text[at:] if at else text
 
 
+OLD = "\u0500"  # the letters and digits below are the same in all Unicode versions in use
+
+
 def word_encoder(path: str, limit: int = 1 << 19) -> Callable[[str], np.ndarray]:
     """Text to ids (uint32) by a tokenizers file that drops white space; special tokens' strings are ordinary text.
 
-    No token crosses white space, so a text is cut at spaces and line feeds.  Pieces met before come from a table of at
-    most `limit` entries; a text's new ones are encoded in one call, a NUL between them, and told apart by its id.
+    No token crosses white space, so a text is cut at spaces and line feeds.  Pieces that the process met before come from a
+    table of at most `limit` entries.  New ones go together, a NUL between them, through the file's normalizer and its pattern, and each
+    pre-token not met before, its bytes as printable characters, through its model; pieces of later scripts, whose letters
+    pattern engines of different Unicode versions see differently, go through the library's own encoder.
     """
     held = _held()
     if path not in held:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        held[path] = t
-    t = held[path]
-    (nul,) = t.encode("\0", add_special_tokens=False).ids
-    known: dict[str, bytes] = {}
-
-    def ids(text: str) -> np.ndarray:
-        return np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
+        held[path] = t, *_split_pattern(path), {}, {}
+    t, pattern, printable, known, merged = held[path]
+    normalize, split, merge = t.normalizer.normalize_str, pattern.findall, t.model.tokenize
+
+    def ids(found: list[str]) -> bytes:
+        for x in found:
+            if x not in merged:
+                raw = x.encode("utf-8", "surrogatepass").decode("latin-1").translate(printable)
+                merged[x] = array("I", [y.id for y in merge(raw)]).tobytes()
+        return b"".join(map(merged.__getitem__, found))
+
+    def learn(pieces: list[str]) -> None:
+        for s in range(0, len(pieces), 4096):
+            part = pieces[s : s + 4096]
+            plain = normalize(" \0 ".join(part)).split(" \0 ")
+            for p, q in zip(part, plain, strict=True):
+                word = q.rstrip(".,")
+                if word.isalpha():  # a word, with or without such marks behind it: what the pattern would find
+                    known[p] = ids([word, q[len(word) :]] if len(word) < len(q) else [word])
+                else:
+                    known[p] = ids(split(q))
 
     def encode(text: str) -> np.ndarray:
         pieces = text.replace("\n", " ").split(" ")
@@ -101,17 +138,12 @@ def word_encoder(path: str, limit: int = 1 << 19) -> Callable[[str], np.ndarray]
             if len(known) + len(new) > limit:
                 known.clear()
                 new = set(pieces)
-            plain = [p for p in new if "\0" not in p]
-            for s in range(0, len(plain), 4096):
-                part = plain[s : s + 4096]
-                got = ids(" \0 ".join(part))
-                ends = np.append(np.flatnonzero(got == nul), len(got)).tolist()
-                at = 0
-                for p, end in zip(part, ends, strict=True):
-                    known[p] = got[at:end].tobytes()
-                    at = end + 1
-            for p in new.difference(plain):
-                known[p] = ids(p).tobytes()
+            if len(merged) > limit:
+                merged.clear()
+            usual = [p for p in new if p and "\0" not in p and max(p) < OLD and not p.isspace()]
+            learn(usual)
+            for p in new.difference(usual):
+                known[p] = array("I", t.encode(p, add_special_tokens=False).ids).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
 
     return encode
