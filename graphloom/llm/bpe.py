@@ -1,13 +1,15 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table.
 
 Documents are read in blocks of bounded size.  A block keeps each of its distinct pre-tokens once, with
-positions as indices into that list.  The exploded words meet by word in one shuffle, each distinct word is encoded
-once per partition, and the ids go back to the blocks that asked, where documents are put together
-by position.  A word takes part once per block however often it occurs, so frequent words are no hot keys.
+positions as indices into that list.  The blocks' words meet in one shuffle by the word's hash, packed by block; each
+distinct word is encoded once, and its ids go back to the blocks that asked, where documents are put together by
+position.  A word takes part once per block however often it occurs, so frequent words are no hot keys.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,10 +22,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import tokens
 from graphloom.llm.common import id_texts, rows_to_batches, texts
-from graphloom.session import cut, spread
+from graphloom.session import checkpoint_root, spread
 
-BLOCK_CHARS = 16 << 20
-ID = np.uint32
+BLOCK_CHARS = 8 << 20
+ROUTE_WORDS = 1 << 17  # block words that one route takes, on average
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -50,8 +52,8 @@ def _words_in(b: bytes) -> list[str]:
 
 
 def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, words, doc_ids, counts, positions): one row per block of documents, written and read back."""
-    schema = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+    """(block, n_words, words, ids, nulls, counts, positions): one row per block of documents, written and read back."""
+    schema = pa.schema([("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -66,7 +68,7 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
             rank = np.empty(len(index), np.uint32)
             rank[np.fromiter(map(index.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
             where = rank[np.concatenate([np.zeros(0, np.uint32), *spots])]
-            row = ((part << 24) | seq, _words_out(words), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array(counts, np.int64).tobytes(), _squeeze(where))
+            row = ((part << 24) | seq, len(words), _words_out(words), np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), np.array(counts, np.int64).tobytes(), _squeeze(where))
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, schema.types)], schema=schema)
 
         for i, text in id_texts(batches):
@@ -85,7 +87,13 @@ def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         if ids:
             yield flush()
 
-    return cut(spread(docs).select("doc_id", "text").mapInArrow(run, "block long, words binary, ids binary, nulls binary, counts binary, positions binary"))
+    made = spread(docs).select("doc_id", "text").mapInArrow(run, "block long, n_words long, words binary, ids binary, nulls binary, counts binary, positions binary")
+    # Bucketed by block, the table later joins the replies without moving; `path` keeps it in the shared folder.
+    spark = docs.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.bucketBy(buckets, "block").option("path", f"{checkpoint_root(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -95,47 +103,56 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     rows; other columns are ignored.
     """
     held = blocks(texts(docs, id_col, text_col), block_chars)
-    word_schema = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.string())])
-
-    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((b.column(0)[i].as_py(), k, w) for b in batches for i in range(b.num_rows) for k, w in enumerate(_words_in(b.column(1)[i].as_py())))
-        yield from rows_to_batches(rows, word_schema, max_rows=1 << 16)
-
-    asked = held.select("block", "words").mapInArrow(explode, "block long, at int, word string")
+    words = held.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    routes = max(1, -(-words // ROUTE_WORDS))
+    asked_schema = pa.schema([("route", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("words", pa.binary())])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's words by route, a hash of the word; a row holds all words of one block and route, in order."""
+        def rows():
+            for b in batches:
+                for i in range(b.num_rows):
+                    block, words = b.column(0)[i].as_py(), _words_in(b.column(1)[i].as_py())
+                    route = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % routes for w in words), np.int32, len(words))
+                    order = np.argsort(route, kind="stable")
+                    cuts = np.flatnonzero(np.diff(route[order], prepend=-1))
+                    for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+                        mine = order[x:y]
+                        yield int(route[mine[0]]), block, _squeeze(np.diff(mine, prepend=0)), _words_out([words[k] for k in mine.tolist()])
+
+        yield from rows_to_batches(rows(), asked_schema, size=lambda r: len(r[3]))
+
+    asked = held.select("block", "words").mapInArrow(ask, "route int, block long, at binary, words binary")
     reply_schema = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("word_ids", pa.binary())])
 
     def reply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words come sorted: each is encoded once and its ids go into the reply of every block that asked."""
+        """Rows come route by route: a word is encoded when first seen in its route, whatever blocks ask for it."""
         one = tokens.encoding(ranks)._core_bpe.encode_single_piece
-        out: dict[int, tuple[list[int], list[int], list[bytes]]] = {}
-        last, ids, held_words = None, b"", 0
-
-        def flush():
-            rows = [(b, np.array(a, "<u4").tobytes(), np.array(n, "<u4").tobytes(), b"".join(p)) for b, (a, n, p) in out.items()]
-            out.clear()
-            return rows_to_batches(rows, reply_schema, size=lambda r: len(r[3]))
-
-        for batch in batches:
-            for block, at, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if word != last:
-                    got = one(word.encode("utf-8", "surrogatepass"))
-                    last, ids, n = word, np.array(got, "<u4").tobytes(), len(got)
-                o = out.setdefault(block, ([], [], []))
-                o[0].append(at), o[1].append(n), o[2].append(ids)
-                held_words += 1
-                if held_words >= 1 << 20:
-                    held_words = 0
-                    yield from flush()
-        yield from flush()
-
-    replies = asked.repartition("word").sortWithinPartitions("word").mapInArrow(reply, "block long, at binary, n binary, word_ids binary")
+
+        def rows():
+            route, ids = None, {}
+            for b in batches:
+                for i in range(b.num_rows):
+                    if b.column(0)[i].as_py() != route:
+                        route, ids = b.column(0)[i].as_py(), {}
+                    found = _words_in(b.column(3)[i].as_py())
+                    for w in found:
+                        if w not in ids:
+                            ids[w] = np.array(one(w.encode("utf-8", "surrogatepass")), np.uint32)
+                    got = [ids[w] for w in found]
+                    yield b.column(1)[i].as_py(), b.column(2)[i].as_py(), _squeeze(np.fromiter(map(len, got), np.uint32, len(got))), _squeeze(np.concatenate(got))
+
+        yield from rows_to_batches(rows(), reply_schema, size=lambda r: len(r[3]))
+
+    replies = asked.repartition("route").sortWithinPartitions("route").mapInArrow(reply, "block long, at binary, n binary, word_ids binary")
 
     def assemble(key: tuple, own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if own.empty:
             return pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "ids": []})
-        at = np.frombuffer(b"".join(got["at"]), "<u4")
-        n = np.frombuffer(b"".join(got["n"]), "<u4").astype(np.int64)
-        flat = np.frombuffer(b"".join(got["word_ids"]), "<u4")
+        none = np.zeros(0, np.uint32)
+        at = np.concatenate([none, *[np.cumsum(_expand(x), dtype=np.uint32) for x in got["at"]]])
+        n = np.concatenate([none, *map(_expand, got["n"])]).astype(np.int64)
+        flat = np.concatenate([none, *map(_expand, got["word_ids"])])
         starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         starts[at], lengths[at] = np.cumsum(n) - n, n
         row = own.iloc[0]
