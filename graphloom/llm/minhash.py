@@ -9,6 +9,7 @@ bits; the estimate takes out the share of bins that agree by chance.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,15 @@ SHINGLE = 5
 PROBES = 6  # probes tried one by one before the whole sequence is searched at once
 LANES = BINS * BITS // 64
 _BIN = f"cast(shiftrightunsigned({{h}}, {64 - (BINS.bit_length() - 1)}) as int)"
-_MUL = "(2 * pmod(xxhash64({j}), 128) + 1)"  # odd, hence a permutation of the bins
-_ADD = "pmod(xxhash64({j}, 7), 256)"
+# The probe sequences: bin j tries (_MUL[j] * t + _ADD[j]) modulo BINS for t = 0, 1, ...; odd multipliers make each a permutation.
+_MUL = [xxhash.xxh64_intdigest(bytes([j]), 1) % (BINS // 2) * 2 + 1 for j in range(BINS)]
+_ADD = [xxhash.xxh64_intdigest(bytes([j]), 2) % BINS for j in range(BINS)]
+_INV = [pow(m, -1, BINS) for m in _MUL]
+
+
+def _table(values: list[int]) -> str:
+    """A constant array, looked up at `j`."""
+    return f"array({', '.join(map(str, values))})[j]"
 
 
 def add_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
@@ -57,13 +65,9 @@ def add_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
         return f"if((shiftrightunsigned(_o[{at}], {p} & 63) & 1L) = 1L, _m[_c[{at}] + bit_count(_o[{at}] & ~shiftleft(-1L, {p} & 63))], null)"
 
     def probe(t: int) -> str:
-        return f"cast(({_MUL.format(j='j')} * {t} + {_ADD.format(j='j')}) & {BINS - 1} as int)"
+        return _table([(m * t + a) % BINS for m, a in zip(_MUL, _ADD)])
 
-    # The inverse of an odd multiplier modulo a power of two, by Newton's steps.
-    inv = _MUL.format(j="j")
-    for _ in range(3):
-        inv = f"(({inv}) * (2 - {_MUL.format(j='j')} * ({inv})) & {BINS - 1})"
-    place = f"({inv} * ({_BIN.format(h='h')} - {_ADD.format(j='j')} + {BINS}) & {BINS - 1})"
+    place = f"(({_table(_INV)} * ({_BIN.format(h='h')} - {_table(_ADD)} + {BINS})) & {BINS - 1})"
     search = f"array_min(transform(_m, h -> named_struct('t', {place}, 'h', h))).h"
     tried = ", ".join([value("j"), *[value(probe(t)) for t in range(PROBES)], search])
     d = d.withColumn("_d", F.expr(f"if(size(_m) = 0, null, transform(sequence(0, {BINS - 1}), j -> coalesce({tried})))")).drop("_m", "_o", "_c")
@@ -112,12 +116,14 @@ def with_edits(docs: DataFrame) -> DataFrame:
     Rows that repeat id and text are one document, returned as often (`times`).
     """
     succ = successors(docs)
-    keyed = docs.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
-    to = succ.select(F.col("doc_id").alias("for_id"), F.col("th").alias("for_th"), "quarter", F.col("next_id").alias("doc_id"), F.col("next_th").alias("th"))
-    same = lambda a, b, x, y: a["doc_id"].eqNullSafe(b[x]) & (a["th"] == b[y])
-    heads = keyed.join(to, same(keyed, to, "doc_id", "th")).select("for_id", "for_th", F.expr("substring(text, 1, quarter)").alias("head"))
-    own = keyed.join(succ, same(keyed, succ, "doc_id", "th")).select(keyed["doc_id"], keyed["th"], "text", "times", "quarter", "next_id", "next_th")
-    return own.join(heads, own["doc_id"].eqNullSafe(heads["for_id"]) & (own["th"] == heads["for_th"])).select(
+    # A null id travels as the least long, apart from that number by `th`'s seed: plain keys let all joins share one shuffle.
+    none = F.lit(-(1 << 63))
+    key = lambda i, h: [F.coalesce(i, none).alias("key"), F.when(i.isNull(), F.xxhash64(h)).otherwise(F.col(h)).alias("kh")]
+    keyed = docs.withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text", *key(F.col("doc_id"), "th")).dropDuplicates(["key", "kh"])
+    to = succ.select(*[c.alias(f"for_{n}") for c, n in zip(key(F.col("doc_id"), "th"), ("key", "kh"))], "quarter", *key(F.col("next_id"), "next_th"))
+    heads = keyed.join(to, ["key", "kh"]).select(F.col("for_key").alias("key"), F.col("for_kh").alias("kh"), F.expr("substring(text, 1, quarter)").alias("head"))
+    facts = succ.select(*key(F.col("doc_id"), "th"), "times", "quarter", "next_id", "next_th")
+    return keyed.join(facts, ["key", "kh"]).join(heads, ["key", "kh"]).select(
         "doc_id", "th", "text", "times", "next_id", "next_th",
         F.expr("concat(substring(text, 1, length(text) - quarter), head)").alias("edited"),
     )
