@@ -69,7 +69,9 @@ def add_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
 
     place = f"(({_table(_INV)} * ({_BIN.format(h='h')} - {_table(_ADD)} + {BINS})) & {BINS - 1})"
     search = f"array_min(transform(_m, h -> named_struct('t', {place}, 'h', h))).h"
-    tried = ", ".join([value("j"), *[value(probe(t)) for t in range(PROBES)], search])
+    # A borrowed hash is mixed with the bin, so that the copies of one hash do not agree by chance all at once.
+    borrowed = ", ".join([*[value(probe(t)) for t in range(PROBES)], search])
+    tried = f"{value('j')}, xxhash64(coalesce({borrowed}), j)"
     d = d.withColumn("_d", F.expr(f"if(size(_m) = 0, null, transform(sequence(0, {BINS - 1}), j -> coalesce({tried})))")).drop("_m", "_o", "_c")
     per = 64 // BITS
     lane = f"aggregate(slice(_d, {per} * l + 1, {per}), 0L, (a, v) -> shiftleft(a, {BITS}) | (v & {2**BITS - 1}L))"
