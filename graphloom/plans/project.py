@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import EDGE_SCHEMA, PropertyGraph, conform
@@ -11,24 +12,39 @@ from graphloom.operators.diff import carry_over, manifest_diff
 from graphloom.operators.expect_actual import with_expect_actual
 from graphloom.operators.resolve import import_edges
 from graphloom.operators.stats import dedup_edges, first_definition
-from graphloom.session import cut
+from graphloom.session import cut, with_position
 from graphloom.sources import files as S
-from graphloom.sources.parse import parse
+from graphloom.sources.parse import FILE_SPAN, parse
 from graphloom.sources.store import save_graph
 
 IMPORT_ORD = 1 << 60
 
 
-def _numbered(files: DataFrame) -> DataFrame:
-    """Files in path order: sorted partitions make the ids follow the path."""
-    return cut(files.orderBy("path")).orderBy("path").withColumn("ord", F.monotonically_increasing_id())
+def _numbers(files: DataFrame) -> DataFrame:
+    """`(path, ord)`: contiguous numbers of all files in path order."""
+    return cut(with_position(files.select("path"), [F.col("path")], "ord").select("path", "ord"))
+
+
+def _renumbered(g: PropertyGraph, numbers: DataFrame) -> PropertyGraph:
+    """A graph under the current file numbers; places inside a file stay."""
+    at = numbers.select(F.col("path").alias("file"), F.col("ord").alias("_n"))
+    base = F.coalesce("_n", F.lit(0)) * FILE_SPAN + F.col("ord") % FILE_SPAN
+    home = g.nodes.select(F.col("id").alias("source"), "file").join(at, "file").select("source", "_n")
+    kind = F.when(F.col("relation") == "imports", IMPORT_ORD).otherwise(0)
+    nodes = g.nodes.join(at, "file", "left").withColumn("ord", base).select(*g.nodes.columns)
+    edges = g.edges.join(home, "source", "left").withColumn("ord", base + kind).select(*g.edges.columns)
+    return g.with_(nodes=nodes, edges=edges)
 
 
 def _imports(raw: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Import edges; those of a file follow each other by their targets' places."""
     known = nodes.where(F.col("type") == "file").select("ord", "id", "file")
     edges = import_edges(raw, known)
-    order = known.select(F.col("id").alias("source"), (F.col("ord") % (1 << 59) + IMPORT_ORD).alias("ord"))
-    return conform(edges.join(order, "source").withColumn("relation", F.lit("imports")), EDGE_SCHEMA)
+    source = known.select(F.col("id").alias("source"), F.col("ord").alias("_from"))
+    target = known.select(F.col("id").alias("target"), F.col("ord").alias("_to"))
+    rank = F.row_number().over(W.partitionBy("source").orderBy("_to", "target"))
+    ordered = edges.join(source, "source").join(target, "target").withColumn("ord", F.col("_from") + IMPORT_ORD + rank)
+    return conform(ordered.withColumn("relation", F.lit("imports")), EDGE_SCHEMA)
 
 
 def build_graph(spark: SparkSession, root: str, project: str = "project", config: S.ScanConfig | None = None,
@@ -37,8 +53,9 @@ def build_graph(spark: SparkSession, root: str, project: str = "project", config
     files, warnings = S.scan(spark, root, config)
     files = cut(files)
     manifest = S.manifest_of(files)
+    numbers = _numbers(files)
     if previous is None or previous_manifest is None:
-        out = parse(_numbered(files))
+        out = parse(files.join(numbers, "path"))
         nodes = cut(first_definition(out["nodes"]))
         edges = dedup_edges(out["edges"].unionByName(_imports(out["imports"], nodes)))
         g = PropertyGraph(nodes, edges.select("ord", "source", "target", "relation"), project=project)
@@ -46,8 +63,8 @@ def build_graph(spark: SparkSession, root: str, project: str = "project", config
         status = cut(manifest_diff(previous_manifest, manifest))
         touched = status.where(F.col("status").isin("changed", "deleted")).select("path")
         fresh = files.join(status.where(F.col("status") == "changed"), "path", "left_semi")
-        out = parse(_numbered(fresh))
-        g = carry_over(previous, touched, out["nodes"], out["edges"])
+        out = parse(fresh.join(numbers, "path"))
+        g = carry_over(_renumbered(previous, numbers), touched, out["nodes"], out["edges"])
         g = g.with_(nodes=cut(g.nodes))
         edges = dedup_edges(g.edges.unionByName(_imports(out["imports"], g.nodes)))
         g = g.with_(edges=edges.select("ord", "source", "target", "relation"))

@@ -26,6 +26,8 @@ def _reuse(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     out = []
     for at, kws in zip(rows["at_ms"].tolist(), rows["keywords"]):
         kws = list(kws)
+        if not kws:  # a query without keywords neither asks the cache nor changes it
+            continue
         alive = last >= 0 and at - last <= ttl
         hit = bool(alive and kws and kept and sum(k in set(kept) for k in kws) / len(set(kept) | set(kws)) >= KEYWORD_SIMILARITY)
         full = footer < 0 or at - footer > ttl

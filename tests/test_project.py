@@ -29,6 +29,35 @@ def shape(g):
     return nodes, edges
 
 
+def places(g):
+    return {(r["ord"], r["id"]) for r in g.nodes.collect()}, {(r["ord"], r["source"], r["target"]) for r in g.edges.collect()}
+
+
+MEASURED = {
+    "a.py": "def wide(\n    a,\n    b,\n):\n    if a:\n        return helper(b)\n    return 1 if b else 2\n\n\ndef helper(x):\n    return [y for y in x if y]\n\n\n"
+            "def runs(a, b, c):\n    return a.x and b.x or c\n\n\ndef nested(a, b, c):\n    return (a or b) and c\n",
+    "b.swift": "func load(x: Int?) -> Int? {\n  let y = try? f(x)\n  let z = y as? Int\n  return z\n}\nfunc pick(a: Bool) -> Int {\n  return a ? 1 : 2\n}\n",
+    "C.java": "class C {\n  List<?> a(Map<?, String> m) {\n    return m;\n  }\n  int b(int x) {\n    return x > 1 && x < 4 ? 1 : 2;\n  }\n}\n",
+    "d.ts": "interface Shape {\n  area(): number\n  name(): string\n}\nclass Sq {\n  area(): number {\n    return 1\n  }\n}\n",
+}
+
+
+def test_measures_and_declarations(spark, tmp_path):
+    root = str(tmp_path / "measured")
+    write(root, MEASURED)
+    g, _, _ = build_graph(spark, root)
+    got = {r["id"]: (r["complexity"], r["cognitive_complexity"]) for r in g.nodes.where("type IN ('function', 'method')").collect()}
+    assert got["a_py__wide"][0] == 3
+    assert got["a_py__helper"] == (1, 0)
+    assert got["a_py__runs"] == (3, 1)
+    assert got["a_py__nested"] == (3, 2)
+    assert got["b_swift__load"][0] == 1 and got["b_swift__pick"][0] == 2
+    assert got["c_java__c_a"][0] == 1 and got["c_java__c_b"] == (3, 1)
+    assert {k for k in got if k.startswith("d_ts")} == {"d_ts__sq_area"}
+    edges = {(r["source"], r["target"]) for r in g.edges.where("relation = 'calls'").collect()}
+    assert ("a_py__wide", "a_py__helper") in edges
+
+
 def test_build_incremental_store_and_tools(spark, tmp_path):
     root = str(tmp_path / "proj")
     write(root, FILES)
@@ -51,6 +80,8 @@ def test_build_incremental_store_and_tools(spark, tmp_path):
     inc, _, _ = build_graph(spark, root, previous=g, previous_manifest=manifest)
     full, _, _ = build_graph(spark, root)
     assert shape(inc) == shape(full)
+    assert places(inc) == places(full)
+    assert len({o for o, *_ in places(full)[0]}) == full.nodes.count() and len({o for o, *_ in places(full)[1]}) == full.edges.count()
 
     path = str(tmp_path / "store")
     saved = sync_project(spark, root, path)

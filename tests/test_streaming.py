@@ -6,7 +6,8 @@ from graphloom.streaming import sessions
 
 def test_conversation_cache_stream_equals_batch(spark, tmp_path):
     rows = [("p", 0, ["auth", "flow"]), ("p", 1000, ["auth", "flow", "x"]), ("p", 2000, ["auth", "a", "b", "c"]),
-            ("p", 400_000, ["auth", "a", "b", "c"]), ("q", 0, ["auth"]), ("q", 301_000, ["auth"]), ("q", 601_000, ["auth"])]
+            ("p", 400_000, ["auth", "a", "b", "c"]), ("q", 0, ["auth"]), ("q", 301_000, ["auth"]), ("q", 601_000, ["auth"]),
+            ("r", 0, ["auth", "login"]), ("r", 1000, []), ("r", 2000, ["auth", "login"])]
     schema = "project string, at_ms long, keywords array<string>"
     path = str(tmp_path / "in")
     spark.createDataFrame(rows, schema).coalesce(1).write.json(path)
@@ -14,7 +15,7 @@ def test_conversation_cache_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("cache_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r["project"], r["at_ms"]): r["cache_hit"] for r in spark.table("cache_out").collect()}
-    assert got == {("p", 0): False, ("p", 1000): True, ("p", 2000): False, ("p", 400_000): False, ("q", 0): False, ("q", 301_000): False, ("q", 601_000): True}
+    assert got == {("p", 0): False, ("p", 1000): True, ("p", 2000): False, ("p", 400_000): False, ("q", 0): False, ("q", 301_000): False, ("q", 601_000): True, ("r", 0): False, ("r", 2000): True}
     batch = telemetry.session_cache_hits(
         spark.createDataFrame(rows, schema).withColumn("at", F.col("at_ms") / 1000), "project", "at", "at_ms")
     assert {(r["project"], r["at_ms"]): r["cache_hit"] for r in batch.collect()} == got
