@@ -121,10 +121,11 @@ def with_edits(docs: DataFrame) -> DataFrame:
     # A null id travels as the least long, apart from that number by `th`'s seed: plain keys let all joins share one shuffle.
     none = F.lit(-(1 << 63))
     key = lambda i, h: [F.coalesce(i, none).alias("key"), F.when(i.isNull(), F.xxhash64(h)).otherwise(F.col(h)).alias("kh")]
-    keyed = docs.withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text", *key(F.col("doc_id"), "th")).dropDuplicates(["key", "kh"])
+    # Both uses below take exactly these columns, so that one exchange of the texts serves both.
+    keyed = docs.withColumn("th", F.xxhash64("text")).select("text", *key(F.col("doc_id"), "th")).dropDuplicates(["key", "kh"])
     to = succ.select(*[c.alias(f"for_{n}") for c, n in zip(key(F.col("doc_id"), "th"), ("key", "kh"))], "quarter", *key(F.col("next_id"), "next_th"))
     heads = keyed.join(to, ["key", "kh"]).select(F.col("for_key").alias("key"), F.col("for_kh").alias("kh"), F.expr("substring(text, 1, quarter)").alias("head"))
-    facts = succ.select(*key(F.col("doc_id"), "th"), "times", "quarter", "next_id", "next_th")
+    facts = succ.select(*key(F.col("doc_id"), "th"), "doc_id", "th", "times", "quarter", "next_id", "next_th")
     return keyed.join(facts, ["key", "kh"]).join(heads, ["key", "kh"]).select(
         "doc_id", "th", "text", "times", "next_id", "next_th",
         F.expr("concat(substring(text, 1, length(text) - quarter), head)").alias("edited"),
