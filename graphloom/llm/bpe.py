@@ -8,9 +8,10 @@ position.  A word takes part once per block however often it occurs, so frequent
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,13 +179,8 @@ def token_bytes(spark, ranks: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for b, i in tokens.read_ranks(ranks).items()], "id int, bytes binary")
 
 
-def decode(encoded: DataFrame, ranks: str) -> DataFrame:
-    """Adds `decoded` (bytes) to rows with (doc_id, ids).
-
-    A broadcast join with the token-byte table by direct address: ids are dense and the table has one row per
-    token of the vocabulary, whatever the corpus.
-    """
-    table = encoded.sparkSession.sparkContext.broadcast([b for b, _ in sorted(tokens.read_ranks(ranks).items(), key=lambda x: x[1])])
+def _decoder(table) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, ids) to (doc_id, ids, decoded) batches; `table` is a broadcast list of token bytes by id."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +188,29 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
         rows = ((i.as_py(), x.as_py(), b"".join(map(look, np.frombuffer(x.as_py(), "<u4").tolist()))) for b in batches for i, x in zip(b.column(0), b.column(1)))
         yield from rows_to_batches(rows, schema, size=lambda r: len(r[1]) + len(r[2]))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return run
+
+
+def _byte_list(encoded: DataFrame, ranks: str):
+    return encoded.sparkSession.sparkContext.broadcast([b for b, _ in sorted(tokens.read_ranks(ranks).items(), key=lambda x: x[1])])
+
+
+def decode(encoded: DataFrame, ranks: str) -> DataFrame:
+    """Adds `decoded` (bytes) to rows with (doc_id, ids).
+
+    A broadcast join with the token-byte table by direct address: ids are dense and the table has one row per
+    token of the vocabulary, whatever the corpus.
+    """
+    return encoded.select("doc_id", "ids").mapInArrow(_decoder(_byte_list(encoded, ranks)), "doc_id long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with ids and decoded bytes."""
-    import hashlib
+def digests(encoded: DataFrame, ranks: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with (doc_id, ids).
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string())])
+    Decodes as `decode` does, in the same pass, so that decoded bytes stay in the task that hashes them.
+    """
+    decoded = _decoder(_byte_list(encoded, ranks))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digits: dict[int, bytes] = {}
@@ -209,14 +220,12 @@ def digests(decoded: DataFrame) -> DataFrame:
                 digits[x] = b"%d" % x
             return b" ".join(map(digits.__getitem__, a))
 
-        for b in batches:
-            out = []
-            for i, x in zip(b.column(0), b.column(1)):
-                a = np.frombuffer(x.as_py(), "<u4").tolist()
-                out.append((i.as_py(), len(a), hashlib.sha256(text(a)).hexdigest()))
-            got = next(rows_to_batches(out, schema, max_rows=1 << 30), None)
-            if got is not None:
-                yield pa.RecordBatch.from_arrays([*got.columns, b.column(2)], names=[*schema.names, "decoded_sha256"])
-
-    hashed = decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
-    return hashed.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def rows():
+            for b in decoded(batches):
+                for i, x, y in zip(b.column(0), b.column(1), b.column(2)):
+                    a = np.frombuffer(x.as_py(), "<u4").tolist()
+                    yield i.as_py(), len(a), hashlib.sha256(text(a)).hexdigest(), hashlib.sha256(y.as_py()).hexdigest()
+
+        yield from rows_to_batches(rows(), schema)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

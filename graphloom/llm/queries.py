@@ -56,7 +56,7 @@ def op4_simhash_groups(spark, sf) -> DataFrame:
 @query
 def op5_byte_bpe(spark, sf) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf, "documents"), ranks), ranks))
+    return bpe.digests(bpe.encode(table(spark, sf, "documents"), ranks), ranks)
 
 
 @query
