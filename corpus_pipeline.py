@@ -10,14 +10,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, packing, quality, simhash
+from graphloom.llm import line_dedup, near, packing, quality
 from graphloom.llm.queries import table
 from graphloom.session import cut
 
-# Near duplicates share 0.8 of their five-word shingles.  Fingerprints of such texts differ in 39 of 256 bits on average, give or
-# take 6; of unrelated ones in 128.
-SHINGLE, BITS, RADIUS, RATIO = 5, 256, 44, 0.8
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.5; the model learns from the labelled ones among them."""
@@ -33,8 +29,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id, of equal ids the one with the least text hash."""
-    groups = simhash.simhash_groups(docs, shingle=SHINGLE, bits=BITS, radius=RADIUS, min_ratio=RATIO)
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    groups = near.groups(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text")))
+    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return kept.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*docs.columns)

@@ -114,12 +114,9 @@ def _steps(parts: int, reach: int, bands: bool) -> list[tuple[int, ...]]:
     return [(b, *s) for b in ((0, 1) if bands else (0,)) for s in near if (b, *s) >= zero]
 
 
-def links(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
-    """(u, v): edges that connect exactly the nodes (node, fp, shingles) that chains of close fingerprints connect.
-
-    Fingerprints are close at `radius` or fewer differing bits and, with `min_ratio`, if the lesser shingle count is
-    at least that share of the greater.
-    """
+def tile_pairs(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+    """(a, b, ma, mb): the tiles that may hold nodes (node, fp, shingles, label if given) within `radius` and `min_ratio`, each pair once."""
+    held = ["node", "fp", "shingles", *(["label"] if "label" in nodes.columns else [])]
     nodes, total = cut_counted(nodes)
     if radius <= 4:  # groups by exact bit counts of 2 parts, of 4 once there are enough nodes to fill tiles; the pairs are the same
         parts, wide = (2 if total < 2_000_000 else 4), 1
@@ -129,7 +126,7 @@ def links(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile
     step = math.log(1 / min_ratio) if min_ratio else 0.0
     per = bits // 8 // parts
     names = ["band", *[f"c{p}" for p in range(parts)]]
-    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.int64()), *[(n, pa.int32()) for n in names]])
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.binary()), ("shingles", pa.int64()), *[(n, pa.int64()) for n in held[3:]], *[(n, pa.int32()) for n in names]])
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,19 +138,19 @@ def links(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile
             band = np.zeros(b.num_rows, np.int32)
             if step:  # sizes within the ratio lie in one band or two adjoining ones
                 band = np.where(sizes > 0, np.floor(np.log(np.maximum(sizes, 1)) / step + 1e-9), -9).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(band), *[pa.array(np.ascontiguousarray(ones[:, p])) for p in range(parts)]], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(band), *[pa.array(np.ascontiguousarray(ones[:, p])) for p in range(parts)]], schema=schema)
 
-    counted = cut(nodes.select("node", "fp", "shingles").mapInArrow(keyed, "node long, fp binary, shingles long, " + ", ".join(f"{n} int" for n in names)))
+    counted = cut(nodes.select(*held).mapInArrow(keyed, "node long, fp binary, " + ", ".join([*[f"{n} long" for n in held[2:]], *[f"{n} int" for n in names]])))
     # A node's tile within its group comes from its hash: no task numbers a group, tiles hold about `tile` at most.
     groups = counted.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     dealt = counted.join(groups, names).withColumn("tile", F.pmod(F.hash("node"), "tiles"))
 
-    @F.udf("struct<fp: binary, node: binary, shingles: binary>", useArrow=False)
+    @F.udf(f"struct<fp: binary, node: binary, {', '.join(f'{n}: binary' for n in held[2:])}>", useArrow=False)
     def pack(members):
-        return b"".join(m[1] for m in members), np.array([m[0] for m in members], np.int64).tobytes(), np.array([m[2] for m in members], np.int64).tobytes()
+        return b"".join(m[1] for m in members), *(np.array([m[k] for m in members], np.int64).tobytes() for k in (0, *range(2, len(held))))
 
     packed = cut(
-        dealt.groupBy(*names, "tile").agg(F.sort_array(F.collect_list(F.struct("node", "fp", "shingles"))).alias("m"))
+        dealt.groupBy(*names, "tile").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("m"))
         .select(F.xxhash64(*names, "tile").alias("id"), *names, pack("m").alias("m"))
     )
     left = packed.select(F.col("id").alias("a"), *names, F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, s)]) for s in _steps(parts, reach, bool(step))])).alias("s"))
@@ -161,17 +158,26 @@ def links(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile
     pairs = left.join(packed.select(F.col("id").alias("b"), *names), names).where("not own or a <= b").select("a", "b")
     spark = nodes.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # Tile pairs are few and long to compare: a fixed number of tasks, not one per MB.
+    return (
+        pairs.join(packed.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").repartition(tasks, "b")
+        .join(packed.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
+    )
+
+
+def links(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
+    """(u, v): edges that connect exactly the nodes (node, fp, shingles) that chains of close fingerprints connect.
+
+    Fingerprints are close at `radius` or fewer differing bits and, with `min_ratio`, if the lesser shingle count is
+    at least that share of the greater.
+    """
     width = bits // 64
 
     @F.udf("array<struct<u: long, v: long>>", useArrow=False)
     def edges(a, b):
         return list(compare(a[0], a[1], b[0], b[1], width, radius, a[2], b[2], min_ratio))
 
-    # Tile pairs are few and long to compare: a fixed number of tasks, not one per MB.
-    both = (
-        pairs.join(packed.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").repartition(tasks, "b")
-        .join(packed.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
-    )
+    both = tile_pairs(nodes.select("node", "fp", "shingles"), bits, radius, min_ratio, tile)
     return both.select(F.explode(edges("ma", "mb")).alias("e")).select("e.u", "e.v").distinct()
 
 

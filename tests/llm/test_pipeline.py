@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from graphloom.llm import quality
+from graphloom.llm import near, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,6 +61,59 @@ def test_near_stage_finds_near_copies(spark):
     assert P.near_stage(spark, df.limit(0), SF).count() == 0
 
 
+def edited(rng, words, low, high):
+    """The words with single ones changed until the similarity lies in [low, high]."""
+    new, n = list(words), 0
+    while not low <= jaccard(" ".join(words), " ".join(new)) <= high:
+        n += 1
+        new[rng.integers(len(words))] = f"changed{n}"
+    return new
+
+
+def test_near_stage_decides_by_shingle_sets(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, stay = [], set()
+    for d in range(160):
+        words = rng.choice(vocabulary, 300).tolist()
+        alike = d % 2
+        new = edited(rng, words, *((0.80, 0.85) if alike else (0.70, 0.79)))
+        rows += [(d, " ".join(words), "en", "s", 0), (1000 + d, " ".join(new), "en", "s", 0)]
+        stay |= {d} if alike else {d, 1000 + d}
+    rows += [(2000, "a b c d e f g h", "en", "s", 0), (2001, "a b c d e f g h i", "en", "s", 0)]  # four and five shingles: 0.8
+    line = " ".join(rng.choice(vocabulary, 40))
+    rows += [(2002, line, "en", "s", 0), (2003, (line + " ") * 30, "en", "s", 0)]  # sets, not counts: 36 of 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.near_stage(spark, df, SF).collect()} == stay | {2000, 2002}
+
+
+def test_near_groups_are_those_of_all_pairs(spark, docs):
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    rng, words = np.random.default_rng(7), [f"v{i}" for i in range(60)]
+    for d in range(40):  # a large group with many pairs on either side of the bound
+        part = [w if rng.random() > 0.02 * (d % 4) else "other" for w in words]
+        rows.append((100_000 + d, " ".join(part)))
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().decode().split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want[find(i)] = min(want.get(find(i), d), d)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
+    got = sorted((r.doc_id, r.least.doc_id) for r in near.groups(df, tile=64).collect())
+    assert got == sorted((d, want[find(i)]) for i, (d, _) in enumerate(rows))
+
+
 def test_run_is_the_stages_in_order(spark, docs):
     kept = docs
     for _, stage in P.STAGES:
