@@ -28,11 +28,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id, of equal ids the one with the least text hash."""
-    groups = near.groups(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text")))
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of near duplicates: the one with the smallest id, of equal ids the one with the least text hash.
+
+    A null id comes last.  Rows that repeat id and text are one document.
+    """
+    keyed = docs.withColumns({"_th": F.xxhash64(F.coalesce("text", F.lit(""))), "_text": F.coalesce("text", F.lit(""))})
+    kept = near.survivors(keyed.select("doc_id", F.col("_th").alias("th"), F.col("_text").alias("text"))).select(F.col("doc_id").alias("_kept"), "th")
+    kept = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("th")), "left_semi")
+    first = Window.partitionBy("doc_id", "_th").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull())
     return kept.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*docs.columns)
 
 

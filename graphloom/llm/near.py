@@ -135,10 +135,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int)
     return cut(joined.where(alike("x", "y")).select("u", "v"))
 
 
-def groups(docs: DataFrame, shingle: int = 5, tile: int = TILE) -> DataFrame:
-    """(doc_id, th, least) of each row (doc_id, th, text): `least` has the least key of the row's group (no_id, doc_id, th), null ids last.
+def survivors(docs: DataFrame, shingle: int = 5, tile: int = TILE) -> DataFrame:
+    """(doc_id, th) of one row of each group of near duplicates among the rows (doc_id, th, text), th a hash of the text.
 
-    th is a hash of the text.  Groups are what chains of pairs with a similarity of 0.8 or more connect; texts without words are alike.
+    The least doc_id stays, of equal ids the least th; null ids come last and are as many documents as they have texts.  Groups are
+    what chains of pairs with a similarity of 0.8 or more connect; texts without words are alike.
     """
     prints = cut(sketches(docs, shingle))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
@@ -148,6 +149,4 @@ def groups(docs: DataFrame, shingle: int = 5, tile: int = TILE) -> DataFrame:
     sure = verified(banded.join(stars, "band").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), nodes, docs, shingle)
     labelled = nodes.join(connected(sure), "node", "left").select("node", "fp", "shingles", F.coalesce("root", "node").alias("label"))
     roots = connected(sure.unionByName(verified(candidates(labelled, tile), nodes, docs, shingle)))
-    placed = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    best = placed.groupBy("root").agg(F.min("least").alias("least"))
-    return prints.select("doc_id", "th", "node").join(placed.select("node", "root").join(best, "root"), "node").select("doc_id", "th", "least")
+    return nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least")).select("least.doc_id", "least.th")

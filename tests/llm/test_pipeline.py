@@ -110,8 +110,25 @@ def test_near_groups_are_those_of_all_pairs(spark, docs):
     for i, (d, _) in enumerate(rows):
         want[find(i)] = min(want.get(find(i), d), d)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text")).select("doc_id", "th", "text")
-    got = sorted((r.doc_id, r.least.doc_id) for r in near.groups(df, tile=64).collect())
-    assert got == sorted((d, want[find(i)]) for i, (d, _) in enumerate(rows))
+    assert sorted(r.doc_id for r in near.survivors(df, tile=64).collect()) == sorted(want.values())
+
+
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(9)
+    words = [rng.choice([f"w{i}" for i in range(5000)], 200).tolist() for _ in range(6)]
+    base = [" ".join(w) for w in words]
+    copy = [" ".join([*w[:-1], "changed"]) for w in words]
+    rows = [
+        (None, base[0]), (None, base[1]), (None, base[1]), (None, copy[1]),  # two texts under null ids
+        (5, base[2]), (5, base[3]), (5, base[3]), (2, copy[3]),  # unlike texts under one id; one has a group with a lesser id
+        (None, base[4]), (9, copy[4]), (7, base[5]), (7, copy[5]),
+    ]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.near_stage(spark, df, SF).collect()]
+    sure = [(None, base[0]), (5, base[2]), (2, copy[3]), (9, copy[4])]
+    assert len(got) == 6 and all(got.count(x) == 1 for x in sure)
+    rest = [x for x in got if x not in sure]
+    assert sorted((d is None, base.index(t) if t in base else copy.index(t)) for d, t in rest) == [(False, 5), (True, 1)]
 
 
 def test_run_is_the_stages_in_order(spark, docs):
