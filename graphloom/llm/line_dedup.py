@@ -2,6 +2,8 @@
 
 Every line that several documents share belongs to the first of them.  A later document is aligned with
 each document that owns one of its lines, never with all that share it, so a line of n documents makes n - 1 links.
+A passage may be made of lines that other documents own.  So the first holder of each two adjoining lines, and of each
+shortest run of enough words, is a partner too: with it the alignment runs on all common lines, and its blocks count alone.
 The patience diff runs on the two documents' common lines: lines that occur once on either side are anchors, the longest rising
 row of them holds, and gaps are filled from their ends.  Aligned lines that lie together make a
 block; blocks of enough words are deleted from the later document.
@@ -93,6 +95,47 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, line long, words int, at array<int>")
 
 
+def blocks(places: list[int], words: dict[int, int], least: int) -> list[list[int]]:
+    """The runs of adjoining places (rising) that hold at least so many words."""
+    out: list[list[int]] = []
+    for p in places:
+        if out and p == out[-1][-1] + 1:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return [x for x in out if sum(words[p] for p in x) >= least]
+
+
+def passage_keys(line: dict[int, int], words: dict[int, int], least: int) -> set[int]:
+    """Keys of what a repeated passage has in common: two adjoining lines, and the shortest runs of `least` words from and up to each line.
+
+    line: hash of each shared line by place.  A block lies within a run of shared lines, so other lines need no key.
+    """
+    out = set()
+    for run in blocks(sorted(line), words, least):
+        spans = {(k, k + 2) for k in range(len(run) - 1)}
+        end, total = 0, 0
+        for start in range(len(run)):
+            while end < len(run) and total < least:
+                total += words[run[end]]
+                end += 1
+            if total >= least:
+                spans.add((start, end))
+            total -= words[run[start]]
+        start, total = len(run), 0
+        for end in range(len(run), 0, -1):
+            while start and total < least:
+                start -= 1
+                total += words[run[start]]
+            if total >= least:
+                spans.add((start, end))
+            total -= words[run[end - 1]]
+        for i, j in spans:
+            h = xxhash.xxh64_intdigest(b"".join(line[p].to_bytes(8, "big", signed=True) for p in run[i:j]))
+            out.add(h - ((h >> 63) << 64))
+    return out
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, gone, partners): places of the lines to delete from each document, and the earlier documents they came from.
 
@@ -100,42 +143,66 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     seen = cut(occurrences(docs))
     first = seen.groupBy("line").agg(F.min(F.struct("doc_id", "th", "at")).alias("o"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select("line", "o")
-    shared = (
-        seen.join(first, "line").where("not (doc_id = o.doc_id and th = o.th)")
-        .groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "words", "at", "o")).alias("shared"))
-    )
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64()))])
+    shared = seen.join(first, "line").groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "words", "at", "o")).alias("shared"))
+    parts = [("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))]
+    schema = pa.schema([*parts, ("keys", pa.list_(pa.int64())), ("gone", pa.list_(pa.int32())), ("partners", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for i in range(b.num_rows):
+                    me = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                     words: dict[int, int] = {}
+                    line: dict[int, int] = {}
                     with_owner: dict[tuple, tuple[list, list]] = {}
-                    for s in b.column(2)[i].as_py():
-                        mine, theirs = with_owner.setdefault((s["o"]["doc_id"], s["o"]["th"]), ([], []))
-                        mine += [(p, s["line"]) for p in s["at"]]
-                        theirs += [(p, s["line"]) for p in s["o"]["at"]]
+                    for s in {s["line"]: s for s in b.column(2)[i].as_py()}.values():  # repeated rows are one document
                         words |= dict.fromkeys(s["at"], s["words"])
+                        line |= dict.fromkeys(s["at"], s["line"])
+                        owner = s["o"]["doc_id"], s["o"]["th"]
+                        if owner != me:
+                            mine, theirs = with_owner.setdefault(owner, ([], []))
+                            mine += [(p, s["line"]) for p in s["at"]]
+                            theirs += [(p, s["line"]) for p in s["o"]["at"]]
                     aligned: dict[int, int] = {}
                     for (owner, _), (mine, theirs) in with_owner.items():
                         mine.sort(), theirs.sort()
                         for x, _ in patience([h for _, h in mine], [h for _, h in theirs]):
                             aligned[mine[x][0]] = owner
-                    gone, run_, total = [], [], 0
-                    for p in [*sorted(aligned), None]:
-                        if run_ and p != run_[-1] + 1:
-                            gone += run_ if total >= min_words else []
-                            run_, total = [], 0
-                        if p is not None:
-                            run_.append(p)
-                            total += words[p]
-                    if gone:
-                        yield b.column(0)[i].as_py(), b.column(1)[i].as_py(), gone, sorted({aligned[p] for p in gone})
+                    gone = [p for x in blocks(sorted(aligned), words, min_words) for p in x]
+                    at = sorted(line)
+                    keys = passage_keys(line, words, min_words)
+                    if keys or gone:
+                        yield *me, at, [line[p] for p in at], [words[p] for p in at], sorted(keys), gone, sorted({aligned[p] for p in gone})
 
         yield from rows_to_batches(rows(), schema, max_rows=1024)
 
-    return shared.mapInArrow(run, "doc_id long, th long, gone array<int>, partners array<bigint>")
+    held = cut(shared.mapInArrow(run, "doc_id long, th long, places array<int>, lines array<bigint>, words array<int>, keys array<bigint>, gone array<int>, partners array<bigint>"))
+    keyed = held.select("doc_id", "th", F.explode("keys").alias("key"))
+    holders = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("o"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    pairs = keyed.join(holders, "key").where("not (doc_id = o.doc_id and th = o.th)").select("doc_id", "th", F.col("o.doc_id").alias("owner"), F.col("o.th").alias("owner_th")).distinct()
+    both = (
+        pairs.join(held.select(F.col("doc_id").alias("owner"), F.col("th").alias("owner_th"), F.col("lines").alias("theirs")), ["owner", "owner_th"])
+        .join(held.select("doc_id", "th", "places", "lines", "words"), ["doc_id", "th"])
+        .select("doc_id", "th", "owner", "theirs", "places", "lines", "words")
+    )
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for i in range(b.num_rows):
+                    doc, th, owner, theirs, places, lines, words = (c[i].as_py() for c in b.columns)
+                    common = set(theirs) & set(lines)
+                    at = [k for k, h in enumerate(lines) if h in common]
+                    found = [places[at[x]] for x, _ in patience([lines[k] for k in at], [h for h in theirs if h in common])]
+                    gone = [p for x in blocks(found, dict(zip(places, words)), min_words) for p in x]
+                    if gone:
+                        yield doc, th, gone, [owner]
+
+        yield from rows_to_batches(rows(), pa.schema([schema.field(n) for n in ("doc_id", "th", "gone", "partners")]), max_rows=1024)
+
+    found = held.where("size(gone) > 0").select("doc_id", "th", "gone", "partners").unionByName(both.mapInArrow(align, "doc_id long, th long, gone array<int>, partners array<bigint>"))
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("gone", "partners")]
+    return found.groupBy("doc_id", "th").agg(*merged)
 
 
 def without(text: str, gone: set[int]) -> str:
@@ -159,10 +226,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hash.  A text that loses all its lines becomes empty.  An empty table gives no rows.
     """
     at = docs.columns.index("text")
-    keyed = spread(docs).withColumns({"_th": F.xxhash64("text"), "_id": F.col("doc_id").cast("long")})
-    plain = keyed.where("_id is not null and text is not null").select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), "text")
-    found = deletions(plain, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"), F.col("partners").alias("_partners"))
-    joined = keyed.join(found, ["_id", "_th"], "left").select(*[keyed[c] for c in docs.columns], "_gone", "_partners")
+    th, key, gone, partners = (f"_{c}_{'_'.join(docs.columns)}" for c in ("th", "id", "gone", "partners"))  # no column of the input
+    keyed = spread(docs).withColumns({th: F.xxhash64("text"), key: F.col("doc_id").cast("long")})
+    plain = keyed.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), F.col(th).alias("th"), "text")
+    found = deletions(plain, min_words).select(F.col("doc_id").alias(key), F.col("th").alias(th), F.col("gone").alias(gone), F.col("partners").alias(partners))
+    joined = keyed.join(found, [key, th], "left").select(*docs.columns, gone, partners)
     width = len(docs.columns)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", removed_lines int, removed_words int, partners array<bigint>"
 

@@ -183,6 +183,58 @@ def test_line_dedup(spark, hard, empty):
     assert sorted(pairs(line_dedup.dedup_lines(given)), key=sort_key) == line_brute(pairs(given))
 
 
+def all_earlier_brute(rows, least=line_dedup.MIN_WORDS):
+    """{(id, text): places} of blocks that align with any one earlier document over all common lines."""
+    order = sorted({(i, t) for i, t in rows if i is not None}, key=lambda r: (r[0], xxhash_signed(r[1])))
+    lines, out = [line_dedup.lines_of(t) for _, t in order], {}
+    for n, doc in enumerate(order):
+        gone = out[doc] = set()
+        for theirs in lines[:n]:
+            common = set(lines[n]) & set(theirs)
+            mine = [k for k, x in enumerate(lines[n]) if x in common]
+            aligned = {mine[a] for a, _ in line_dedup.patience([lines[n][k] for k in mine], [x for x in theirs if x in common])}
+            run = []
+            for k in range(len(lines[n]) + 1):
+                if k in aligned:
+                    run.append(k)
+                    continue
+                if sum(len(lines[n][x].split()) for x in run) >= least:
+                    gone |= set(run)
+                run = []
+    return out
+
+
+def test_line_dedup_passages_of_borrowed_lines(spark):
+    h = "a frequent line that many unrelated documents also have"
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(18)) for x in "abcd")
+    rows = [(1, f"one\n{h}"), (2, "two"), (5, "\n".join([a, h, b, h, c, h, d])), (9, "\n".join([h, "nine", a, h, b, h, c, h, d]))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert got[9].text == f"{h}\nnine" and got[9].removed_words == 99 and got[9].partners == [5]
+    assert all(got[i].removed_lines == 0 for i in (1, 2, 5))
+    rng = np.random.default_rng(3)
+    short = [f"common line {k} of five words" for k in range(12)]
+    passages = [rng.choice(short, 6).tolist() for _ in range(25)]
+    rows, again, seen = [], set(), set()
+    for i in range(100, 300):
+        k = int(rng.integers(25))
+        again |= {i} if k in seen else set()
+        seen.add(k)
+        rows.append((i, "\n".join([f"own line {i}", *passages[k], f"tail {i}", *rng.choice(short, 2)])))
+    got = {r.doc_id: line_dedup.lines_of(r.text) for r in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert len(again) > 150 and all(got[i][:2] == [f"own line {i}", f"tail {i}"] for i in again)
+
+
+def test_line_dedup_against_all_earlier_documents(spark):
+    given = pairs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null"))
+    out = {}
+    for i, t in pairs(line_dedup.dedup_lines(table(spark, given))):
+        out.setdefault(i, []).append(len(line_dedup.lines_of(t)))
+    brute = all_earlier_brute(given)
+    assert sum(map(bool, brute.values())) > 50
+    for (i, t), gone in brute.items():
+        assert min(out[i]) <= len(line_dedup.lines_of(t)) - len(gone)
+
+
 # --- 4 simhash --------------------------------------------------------------
 
 def simhash_brute(rows, radius=3):
