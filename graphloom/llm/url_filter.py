@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ascii_lower
+from graphloom.session import cut
 
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "longest_label", "suffix_rate", "suffix_seen"]
 
@@ -86,7 +87,7 @@ def lexical(urls: DataFrame, suffix_rates: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(labelled: DataFrame, prior: float = 20.0) -> DataFrame:
-    """Smoothed share of label 1 and log count per host suffix (last two labels) in the training rows."""
+    """Smoothed share of label 1 and log count per host suffix (last two labels) in the labelled rows."""
     return labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(
         ((F.sum("label") + 0.5 * prior) / (F.count(F.lit(1)) + prior)).alias("suffix_rate"),
         F.log1p(F.count(F.lit(1))).alias("suffix_seen"),
@@ -107,21 +108,25 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 17) -> UrlModel:
-    """Fits on labelled urls (`url`, `label` 0 or 1), on at most about `max_rows` distinct ones.
+    """Trees fitted on labelled urls (`url`, `label` 0 or 1), on at most about `max_rows` distinct ones; suffix statistics of all of them.
 
     The bound is met by the url's hash, so the sample does not depend on order or partitioning.  Null urls or labels do
     not count; one class only, or none, gives a constant score.
     """
-    rows = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").cast("double").alias("label"))
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    rows = rows.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "label").repartition(4, "url").sortWithinPartitions("url").cache()
+    every = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").cast("double").alias("label"))
+    every = cut(every.select("url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "label"))
+    suffixes = cut(suffix_statistics(every))
+    n, ones = every.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not n or ones in (0.0, float(n)):
+        return UrlModel(None, suffixes, float(ones or 0.0) / max(n, 1))
+    rows = every
+    if n > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    rows = rows.repartition(4, "url").sortWithinPartitions("url").cache()
     try:
-        n, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
-        suffixes = suffix_statistics(rows)
-        if not n or ones in (0.0, float(n)):
-            return UrlModel(None, suffixes, float(ones or 0.0) / max(n, 1))
+        held, ones = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
+        if not held or ones in (0.0, float(held)):
+            return UrlModel(None, suffixes, float(ones or 0.0) / max(held, 1))
         data = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(lexical(rows, suffixes)).select("_features", "label")
         model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=seed).fit(data)
     finally:

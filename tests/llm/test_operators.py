@@ -97,6 +97,19 @@ def test_url_filter(spark):
 
 # --- 2 quality --------------------------------------------------------------
 
+def test_url_suffixes_count_beyond_the_sample(spark):
+    rows = [(f"http://h{i}.site{i // 4}.{'spam' if i % 3 == 0 else 'ok'}.net/{i}", int(i % 3 == 0)) for i in range(400)]
+    rows += [(f"http://w{i}.rare{i}.org/", i % 2) for i in range(200)] + [(rows[0][0], 1)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.train(df, max_rows=100, trees=3)
+    want = {}
+    for u, y in set(rows):
+        want.setdefault(".".join(u.split("/")[2].split(".")[-2:]), []).append(y)
+    got = {r.suffix: (r.suffix_rate, r.suffix_seen) for r in model.suffixes.collect()}
+    assert model.trees is not None and len(want) == 202
+    assert got == {s: (pytest.approx((sum(y) + 10) / (len(y) + 20)), pytest.approx(np.log1p(len(y)))) for s, y in want.items()}
+
+
 def test_quality(spark, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
