@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+import zlib
+from collections.abc import Callable, Iterable
 
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, quality, simhash, token_files, url_filter
+from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, quality, runs, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +86,29 @@ def op10_token_files(spark, sf) -> DataFrame:
     return token_files.digests(token_files.write(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> Iterable[int] | None:
+    """The word order that the query prescribes: one text in ten repeats a stretch from some word on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return itertools.chain(range(a), itertools.islice(itertools.cycle(range(a, a + p)), n - a))
+
+
+@query
+def op11_periodic_runs(spark, sf) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf, "documents"), rewrite=repeated_tail)
+    best = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 _KEYED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 ORACLES["op9_exact_groups"] = f"""
     WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_KEYED} AS norm FROM documents),
