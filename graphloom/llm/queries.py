@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, quality, runs, simhash, token_files, url_filter
+from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, phrases, quality, runs, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -109,9 +109,39 @@ def op11_periodic_runs(spark, sf) -> DataFrame:
     )
 
 
+@query
+def op12_collocations(spark, sf) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 _KEYED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 ORACLES["op9_exact_groups"] = f"""
     WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_KEYED} AS norm FROM documents),
     r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
                  row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
     SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM r"""
+
+
+ORACLES["op12_collocations"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    p AS (SELECT row, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    p2 AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    w AS (SELECT pid, lang, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM p2),
+    g AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY pid ORDER BY i)),
+    n AS (SELECT lang, count(*) AS n FROM g GROUP BY lang),
+    f1 AS (SELECT lang, w1 AS phrase, count(*) AS f FROM g GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS phrase, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    f3 AS (SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    cuts AS (
+        SELECT lang, phrase, f AS a, 1 AS k, w1 AS head, w2 AS tail FROM f2 UNION ALL
+        SELECT lang, phrase, f, 1, w1, w2 || ' ' || w3 FROM f3 UNION ALL SELECT lang, phrase, f, 2, w1 || ' ' || w2, w3 FROM f3),
+    f AS (SELECT lang, phrase, f FROM f1 UNION ALL SELECT lang, phrase, f FROM f2 UNION ALL SELECT lang, phrase, f FROM f3),
+    s AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+          FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, phrase, max(f) AS most FROM (
+        SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+    kept AS (SELECT b.* FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.most IS NULL OR 100 * i.most < 50 * b.a)
+    SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, k.phrase) AS rank, k.phrase, a, l, r, n.n, score
+    FROM kept k JOIN n ON n.lang = k.lang QUALIFY rank <= 2000"""
