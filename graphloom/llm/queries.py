@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, phrases, quality, runs, simhash, token_files, url_filter
+from graphloom.llm import bpe, exact_dedup, html_text, line_dedup, minhash, packing, phrases, pii, quality, runs, simhash, token_files, url_filter
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,14 @@ def op12_collocations(spark, sf) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
 
 
+@query
+def op13_personal_data(spark, sf) -> DataFrame:
+    found = pii.personal_data(table(spark, sf, "documents"))
+    base = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), pii.listed().alias("spans"))
+
+
 _KEYED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 ORACLES["op9_exact_groups"] = f"""
     WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_KEYED} AS norm FROM documents),
