@@ -85,7 +85,9 @@ def test_empty_table(spark):
 
 def test_a_full_filter_only_counts_more(spark, monkeypatch):
     rows = made(4)
-    monkeypatch.setattr(phrases, "_filters", lambda p, most, bits, known: None if known else {k: np.full(bits // 8, 255, np.uint8) for k in range(1, most)})
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "CHUNK", 500)
+    monkeypatch.setattr(phrases, "_filters", lambda hashes, bits, known: None if known else {k: np.full(bits // 8, 255, np.uint8) for k in range(1, 4)})
     assert got(phrases.collocations(frame(spark, rows))) == brute(rows)
 
 
