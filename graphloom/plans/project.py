@@ -15,7 +15,7 @@ from graphloom.operators.stats import dedup_edges, first_definition
 from graphloom.session import cut, with_position
 from graphloom.sources import files as S
 from graphloom.sources.parse import FILE_SPAN, parse
-from graphloom.sources.store import save_graph
+from graphloom.sources.store import load_graph, load_manifest, save_graph, versions
 
 IMPORT_ORD = 1 << 60
 
@@ -72,10 +72,16 @@ def build_graph(spark: SparkSession, root: str, project: str = "project", config
     return g, manifest, warnings
 
 
-def sync_project(spark: SparkSession, root: str, store: str, project: str = "project", **kwargs) -> PropertyGraph:
-    """Scan, build, cluster and save; returns the saved graph."""
+def sync_project(spark: SparkSession, root: str, store: str, project: str = "project", batch: int | None = None, **kwargs) -> PropertyGraph:
+    """Scan, build, cluster and save as a new version; a stored former version makes the build incremental.  Returns the saved graph.
+
+    With `batch`, a batch number that the store has seen changes nothing.
+    """
+    known = versions(spark, store)
+    if batch is not None and any(v["batch"] is not None and v["batch"] >= batch for v in known):
+        return load_graph(spark, store)
+    if known and "previous" not in kwargs:
+        kwargs |= {"previous": load_graph(spark, store), "previous_manifest": load_manifest(spark, store)}
     g, manifest, _ = build_graph(spark, root, project, **kwargs)
-    g = with_clusters(g)
-    save_graph(g, store)
-    manifest.write.mode("overwrite").parquet(f"{store}/manifest")
-    return g
+    save_graph(with_clusters(g), store, batch, manifest)
+    return load_graph(spark, store)
