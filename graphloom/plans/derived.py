@@ -4,9 +4,9 @@ The engine's inputs are node and edge tables.  Where no scanned project is at
 hand, this module derives them from the parquet tables, so that every operator
 runs on data that grows with those tables:
 
-* a file node per part, a callable node per (order, part) with return flag R;
+* a file node per part, a callable node per (order, part);
 * `defines` from a part to its callables;
-* `imports` between consecutive parts of an order (quantity at least `q`);
+* `imports` between consecutive parts of an order;
 * `calls` between consecutive callables of an order;
 * document nodes with token hashes, embedding nodes with vectors.
 """
@@ -61,7 +61,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def callable_keys(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     """One row per callable, numbered inside its (small) order."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "R")
+    li = table(spark, sf_dir, "lineitem")
     if keep is not None:
         li = li.where(keep)
     agg = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("qty"))
@@ -93,9 +93,9 @@ def defines(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     )
 
 
-def import_pairs(spark: SparkSession, sf_dir: str, q: int, keep=None) -> DataFrame:
+def import_pairs(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     """Every occurrence of an import, before edge dedup."""
-    li = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= q))
+    li = table(spark, sf_dir, "lineitem")
     if keep is not None:
         li = li.where(keep)
     w = W.partitionBy("l_orderkey").orderBy("l_partkey")
@@ -116,9 +116,9 @@ def import_pairs(spark: SparkSession, sf_dir: str, q: int, keep=None) -> DataFra
     )
 
 
-def imports(spark: SparkSession, sf_dir: str, q: int, keep=None) -> DataFrame:
+def imports(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     return (
-        import_pairs(spark, sf_dir, q, keep)
+        import_pairs(spark, sf_dir, keep)
         .groupBy("source", "target", "relation").agg(F.min("ord").alias("ord"))
         .select("ord", "source", "target", "relation")
     )
@@ -136,21 +136,27 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def code_graph(spark: SparkSession, sf_dir: str, q: int = 28) -> PropertyGraph:
+def code_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     nodes = conform(files(spark, sf_dir), NODE_SCHEMA).unionByName(conform(callables(spark, sf_dir), NODE_SCHEMA))
     edges = (
         defines(spark, sf_dir)
-        .unionByName(imports(spark, sf_dir, q))
+        .unionByName(imports(spark, sf_dir))
         .unionByName(calls(spark, sf_dir))
     )
     return PropertyGraph(nodes, conform(edges, EDGE_SCHEMA), project="derived")
 
 
-def import_graph(spark: SparkSession, sf_dir: str, q: int) -> PropertyGraph:
+def stored_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The same, derived once: for queries that read nodes or edges more than once."""
+    g = code_graph(spark, sf_dir)
+    return g.with_(nodes=cut(g.nodes), edges=cut(g.edges))
+
+
+def import_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Only files and imports: what the import analyses read."""
     return PropertyGraph(
         conform(files(spark, sf_dir), NODE_SCHEMA),
-        conform(imports(spark, sf_dir, q), EDGE_SCHEMA),
+        conform(imports(spark, sf_dir), EDGE_SCHEMA),
         project="derived",
     )
 
@@ -217,5 +223,5 @@ def snapshot(spark: SparkSession, sf_dir: str, keep, moved: bool) -> PropertyGra
         f = f.withColumn("group", F.when(F.col("ord") % 13 == 0, "moved").otherwise(F.col("group")))
         c = c.withColumn("line", F.when(F.col("line") % 7 == 0, F.col("line") + 1).otherwise(F.col("line")))
     nodes = conform(f, NODE_SCHEMA).unionByName(conform(c, NODE_SCHEMA))
-    edges = defines(spark, sf_dir, keep).unionByName(imports(spark, sf_dir, 28, keep))
+    edges = defines(spark, sf_dir, keep).unionByName(imports(spark, sf_dir, keep))
     return PropertyGraph(nodes, conform(edges, EDGE_SCHEMA), project="derived")

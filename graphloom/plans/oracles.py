@@ -19,7 +19,7 @@ FILES = f"""files AS (
     {_PATH} AS file, {_GROUP} AS grp, string_split(p_name, ' ')[-1] AS noun FROM part)"""
 KEYS = """keys AS (
   SELECT *, l_orderkey * 64 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS ord FROM (
-    SELECT l_orderkey, l_partkey, sum(l_quantity) AS qty FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL))"""
+    SELECT l_orderkey, l_partkey, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL))"""
 CALLABLES = f"""callables AS (
   SELECT ord + (CAST(1 AS BIGINT) << 50) AS ord, 'fn_' || l_orderkey || '_' || l_partkey AS id,
     'getOrder' || l_orderkey || 'Part' || l_partkey AS label,
@@ -35,18 +35,18 @@ CALLS = """calls AS (
   FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS b FROM keys) WHERE b IS NOT NULL)"""
 
 
-def pairs(q: int, keep: str = "true", name: str = "pairs") -> str:
+def pairs(keep: str = "true", name: str = "pairs") -> str:
     return f"""{name} AS (
   SELECT l_orderkey * 64 + rn + (CAST(1 AS BIGINT) << 60) AS ord,
     'part_' || CASE WHEN (a + b) % 2 = 0 THEN a ELSE b END AS source,
     'part_' || CASE WHEN (a + b) % 2 = 0 THEN b ELSE a END AS target, 'imports' AS relation
   FROM (SELECT l_orderkey, l_partkey AS a, lead(l_partkey) OVER w AS b, row_number() OVER w AS rn
-        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {q} AND {keep})
+        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE {keep})
         WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)) WHERE b IS NOT NULL)"""
 
 
-def imports(q: int, keep: str = "true", name: str = "imports") -> str:
-    return pairs(q, keep, f"{name}_pairs") + f""",
+def imports(keep: str = "true", name: str = "imports") -> str:
+    return pairs(keep, f"{name}_pairs") + f""",
 {name} AS (SELECT min(ord) AS ord, source, target, 'imports' AS relation FROM {name}_pairs GROUP BY source, target)"""
 
 
@@ -56,8 +56,8 @@ NODES = """nodes AS (
 EDGES = """edges AS (SELECT * FROM defines UNION ALL SELECT * FROM imports UNION ALL SELECT * FROM calls)"""
 
 
-def graph(q: int = 28) -> str:
-    return ",\n".join([FILES, KEYS, CALLABLES, DEFINES, CALLS, imports(q), NODES, EDGES])
+def graph() -> str:
+    return ",\n".join([FILES, KEYS, CALLABLES, DEFINES, CALLS, imports(), NODES, EDGES])
 
 
 def sql(ctes: list[str], body: str, recursive: bool = False) -> str:
@@ -118,7 +118,7 @@ _add("node_degree", [graph()], """SELECT id, count(*) AS degree FROM (
   SELECT source AS id FROM edges UNION ALL SELECT target FROM edges WHERE target <> source) GROUP BY id""")
 _add("node_size", [graph()], """, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id)
   SELECT id, degree, round(4.0 + sqrt(degree / (SELECT max(degree) FROM d)) * 12.0, 9) AS size FROM d""")
-_add("edge_dedup", [pairs(1)], "SELECT min(ord) AS ord, source, target, relation FROM pairs GROUP BY ALL")
+_add("edge_dedup", [pairs()], "SELECT min(ord) AS ord, source, target, relation FROM pairs GROUP BY ALL")
 _add("first_definition", [FILES], """SELECT min_by(id, ord) AS id, min(ord) AS ord, min_by(file, ord) AS file, noun AS label FROM files GROUP BY noun""")
 _add("node_ids", ["x AS (SELECT 1)"], """SELECT page_id, lower(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g')) AS file_id,
   lower(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9_]', '_', 'g'), '_+', '_', 'g')) || '__page_link' AS symbol_id FROM pages""")
@@ -136,22 +136,22 @@ _add("complexity_top", [FILES, KEYS, CALLABLES], """SELECT ord, id AS node_id, c
 _add("max_complexity_per_file", [KEYS, CALLABLES], "SELECT file, max(complexity) AS max_complexity FROM callables GROUP BY file")
 _add("layer_summary", [FILES, KEYS, CALLABLES], """SELECT f.grp AS "group", count(*) AS files, CAST(coalesce(sum(m), 0) AS BIGINT) AS members
   FROM files f LEFT JOIN (SELECT file, count(*) AS m FROM callables GROUP BY file) USING (file) GROUP BY f.grp""")
-_add("layer_dependencies", [FILES, imports(28), GROUPED], "SELECT from_group, to_group, count(*) AS imports FROM grouped GROUP BY ALL")
-_add("arch_violations", [FILES, imports(28), GROUPED, RULES], """SELECT ord, source, target, source_file, target_file, from_group, to_group, rule_from, rule_to
+_add("layer_dependencies", [FILES, imports(), GROUPED], "SELECT from_group, to_group, count(*) AS imports FROM grouped GROUP BY ALL")
+_add("arch_violations", [FILES, imports(), GROUPED, RULES], """SELECT ord, source, target, source_file, target_file, from_group, to_group, rule_from, rule_to
   FROM grouped JOIN rules ON (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group)
   QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY rule_ord) = 1""")
-_add("unreachable_files", [FILES, imports(28)], f"""SELECT ord, id AS node_id, file FROM files f
+_add("unreachable_files", [FILES, imports()], f"""SELECT ord, id AS node_id, file FROM files f
   WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
     AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
       AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))""")
 
-_add("trace_impact", [FILES, imports(38), "origins AS (SELECT 'part_14' AS origin)", REACH.format(depth=200)],
+_add("trace_impact", [FILES, imports(), "origins AS (SELECT 'part_14' AS origin)", REACH.format(depth=200)],
      "SELECT node_id, file, CAST(min(d) AS INT) AS distance FROM reach JOIN files ON id = node_id WHERE node_id <> origin GROUP BY ALL", True)
-_add("trace_impact_depth2", [FILES, imports(28), "origins AS (SELECT 'part_1012' AS origin)", REACH.format(depth=2)],
+_add("trace_impact_depth2", [FILES, imports(), "origins AS (SELECT 'part_1012' AS origin)", REACH.format(depth=2)],
      "SELECT node_id, file, CAST(min(d) AS INT) AS distance FROM reach JOIN files ON id = node_id WHERE node_id <> origin GROUP BY ALL", True)
-_add("all_impact", [imports(38), "origins AS (SELECT DISTINCT target AS origin FROM imports)", REACH.format(depth=60)],
+_add("all_impact", [imports(), "origins AS (SELECT DISTINCT target AS origin FROM imports)", REACH.format(depth=60)],
      "SELECT origin, node_id, CAST(min(d) AS INT) AS distance FROM reach WHERE node_id <> origin GROUP BY ALL", True)
-_add("all_impact_counts", [imports(38), CLOSURE], "SELECT origin AS node_id, count(*) AS dependent_count FROM closure WHERE node_id <> origin GROUP BY origin", True)
+_add("all_impact_counts", [imports(), CLOSURE], "SELECT origin AS node_id, count(*) AS dependent_count FROM closure WHERE node_id <> origin GROUP BY origin", True)
 _BOTTLENECKS = """scored AS (
   SELECT f.ord, f.id AS node_id, f.file, max(c.complexity) AS max_complexity, coalesce(any_value(dependent_count), 0) AS dependent_count
   FROM files f JOIN callables c USING (file) LEFT JOIN (
@@ -159,9 +159,9 @@ _BOTTLENECKS = """scored AS (
 bottlenecks AS (SELECT *, CAST(max_complexity * (1 + dependent_count) AS BIGINT) AS score,
   CASE WHEN max_complexity >= 10 AND dependent_count > 0 THEN 'high' WHEN dependent_count > 0 THEN 'foundational'
        WHEN max_complexity >= 10 THEN 'complex' ELSE 'low' END AS risk FROM scored)"""
-_add("bottlenecks", [FILES, KEYS, CALLABLES, imports(38), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks", True)
-_add("bottlenecks_top", [FILES, KEYS, CALLABLES, imports(38), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks ORDER BY score DESC, ord LIMIT 15", True)
-_add("cycles_members", [imports(28), CLOSURE, SCC], "SELECT scc_id, node_id FROM scc", True)
+_add("bottlenecks", [FILES, KEYS, CALLABLES, imports(), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks", True)
+_add("bottlenecks_top", [FILES, KEYS, CALLABLES, imports(), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks ORDER BY score DESC, ord LIMIT 15", True)
+_add("cycles_members", [imports(), CLOSURE, SCC], "SELECT scc_id, node_id FROM scc", True)
 ORACLES["node_size"] = ORACLES["node_size"].replace("\n, d AS", ",\nd AS")
 
 WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: lower(w))"
@@ -327,7 +327,7 @@ def snapshot(name: str, keep: str, moved: bool) -> str:
     line = "CASE WHEN line % 7 = 0 THEN line + 1 ELSE line END" if moved else "line"
     keys = f"(l_orderkey, l_partkey) IN (SELECT l_orderkey, l_partkey FROM lineitem WHERE {keep})"
     return ",\n".join([
-        imports(28, keep, f"imports_{name}"),
+        imports(keep, f"imports_{name}"),
         f"""nodes_{name} AS (SELECT id, label, type, file, {grp} AS grp, NULL AS line FROM files
   UNION ALL SELECT id, label, type, file, grp, {line} FROM callables WHERE {keep.replace('l_orderkey', "CAST(string_split(id, '_')[2] AS BIGINT)")})""",
         f"""edges_{name} AS (SELECT source, target, relation FROM imports_{name}
@@ -439,7 +439,7 @@ _add("code_lenses", [graph()], """SELECT c.id, c.file, c.line - 1 AS line, coale
 _add("workspace_symbols", [KEYS, CALLABLES], "SELECT ord, id, label, type, file FROM callables WHERE contains(lower(label), 'part12') ORDER BY ord LIMIT 100")
 _add("viewer_search", [graph()], "SELECT ord, id, label, type, file FROM nodes WHERE contains(lower(label), 'ring') OR contains(lower(file), 'ring') ORDER BY ord LIMIT 20")
 _add("document_symbols", [FILES, KEYS, CALLABLES], "SELECT c.id, c.label, c.line - 1 AS line FROM callables c JOIN files f ON f.file = c.file WHERE f.id = 'part_14'")
-_add("graph_diagnostics", [FILES, imports(28), GROUPED, RULES], f"""SELECT source AS node_id, source_file AS file, 'violation' AS kind,
+_add("graph_diagnostics", [FILES, imports(), GROUPED, RULES], f"""SELECT source AS node_id, source_file AS file, 'violation' AS kind,
     'Architecture violation: ' || source_file || ' (' || from_group || ') imports ' || target_file || ' (' || to_group || ')' AS message
   FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
   UNION ALL SELECT id, file, 'unreachable', 'Unreachable file — no other file imports ' || file FROM files f
@@ -460,7 +460,7 @@ _add("parsed_edges", [PARSED], """SELECT CASE WHEN ext = 'java' THEN fid || '__o
   UNION ALL SELECT q.id, r.id, 'calls' FROM q JOIN q r ON q.o = r.o AND q.prev = r.k""")
 _add("parsed_imports", [PARSED], """SELECT DISTINCT 'orders/o' || o || '.' || ext AS file_path, unnest(CASE ext WHEN 'py' THEN ['os', 'sys'] WHEN 'go' THEN [] WHEN 'ts' THEN ['./x'] WHEN 'js' THEN ['./y']
   WHEN 'kt' THEN ['com.acme.Thing'] WHEN 'swift' THEN ['UIKit'] WHEN 'java' THEN ['java.util.List'] ELSE ['Thing.h'] END) AS specifier FROM q""")
-_add("suggestions_by_kind", [FILES, KEYS, CALLABLES, imports(38), GROUPED, RULES, CLOSURE, SCC], f"""SELECT * FROM (
+_add("suggestions_by_kind", [FILES, KEYS, CALLABLES, imports(), GROUPED, RULES, CLOSURE, SCC], f"""SELECT * FROM (
   SELECT 'cycle' AS kind, count(DISTINCT scc_id) AS suggestions FROM scc
   UNION ALL SELECT 'architecture-violation', count(*) FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
   UNION ALL SELECT 'high-complexity', count(*) FROM callables WHERE complexity >= 4

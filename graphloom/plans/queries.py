@@ -62,7 +62,7 @@ def node_size(spark, sf) -> DataFrame:
 
 @query
 def edge_dedup(spark, sf) -> DataFrame:
-    return stats.dedup_edges(D.import_pairs(spark, sf, 1))
+    return stats.dedup_edges(D.import_pairs(spark, sf))
 
 
 @query
@@ -127,12 +127,12 @@ def layer_summary(spark, sf) -> DataFrame:
 
 @query
 def layer_dependencies(spark, sf) -> DataFrame:
-    return layers.layer_dependencies(D.import_graph(spark, sf, 28))
+    return layers.layer_dependencies(D.import_graph(spark, sf))
 
 
 @query
 def arch_violations(spark, sf) -> DataFrame:
-    return layers.violations(D.import_graph(spark, sf, 28), layers.rules_table(spark, RULES))
+    return layers.violations(D.import_graph(spark, sf), layers.rules_table(spark, RULES))
 
 
 @query
@@ -144,44 +144,44 @@ def unreachable_files(spark, sf) -> DataFrame:
 
 @query
 def trace_impact(spark, sf) -> DataFrame:
-    return reachability.trace_impact(D.import_graph(spark, sf, 38), "part_14").drop("ord")
+    return reachability.trace_impact(D.import_graph(spark, sf), "part_14").drop("ord")
 
 
 @query
 def trace_impact_depth2(spark, sf) -> DataFrame:
-    return reachability.trace_impact(D.import_graph(spark, sf, 28), "part_1012", max_depth=2).drop("ord")
+    return reachability.trace_impact(D.import_graph(spark, sf), "part_1012", max_depth=2).drop("ord")
 
 
 @query
 def all_impact(spark, sf) -> DataFrame:
-    g = D.import_graph(spark, sf, 38)
+    g = D.import_graph(spark, sf)
     origins = reachability.import_edges(g).select(F.col("target").alias("origin")).distinct()
     return reachability.multi_source_impact(g, origins)
 
 
 @query
 def all_impact_counts(spark, sf) -> DataFrame:
-    return reachability.dependent_counts(D.import_graph(spark, sf, 38))
+    return reachability.dependent_counts(D.import_graph(spark, sf))
 
 
 @query
 def bottlenecks(spark, sf) -> DataFrame:
-    return quality.bottlenecks(D.code_graph(spark, sf, q=38))
+    return quality.bottlenecks(D.stored_graph(spark, sf))
 
 
 @query
 def bottlenecks_top(spark, sf) -> DataFrame:
-    return quality.bottlenecks(D.code_graph(spark, sf, q=38), limit=15)
+    return quality.bottlenecks(D.stored_graph(spark, sf), limit=15)
 
 
 @query
 def cycles_members(spark, sf) -> DataFrame:
-    return reachability.cycle_members(D.import_graph(spark, sf, 28))
+    return reachability.cycle_members(D.import_graph(spark, sf))
 
 
 @query
 def cycles(spark, sf) -> DataFrame:
-    return reachability.cycles(D.import_graph(spark, sf, 28))
+    return reachability.cycles(D.import_graph(spark, sf))
 
 
 # --- duplicates and similarity -------------------------------------------
@@ -242,13 +242,13 @@ def term_idf(spark, sf) -> DataFrame:
 
 @query
 def keyword_topk(spark, sf) -> DataFrame:
-    top = retrieval.keyword_topk(D.code_graph(spark, sf), I.keywords(QUERY_TEXT), limit=50)
+    top = retrieval.keyword_topk(D.stored_graph(spark, sf), I.keywords(QUERY_TEXT), limit=50)
     return top.select("id", "rank", F.round("score", 9).alias("score"))
 
 
 @query
 def keyword_topk_typed(spark, sf) -> DataFrame:
-    top = retrieval.keyword_topk(D.code_graph(spark, sf), I.keywords(TYPE_QUERY), limit=40, type_filter="function")
+    top = retrieval.keyword_topk(D.stored_graph(spark, sf), I.keywords(TYPE_QUERY), limit=40, type_filter="function")
     return top.select("id", "rank", F.round("score", 9).alias("score"))
 
 
@@ -284,14 +284,14 @@ def semantic_neighbors(spark, sf) -> DataFrame:
 
 @query
 def expand_context(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     seeds = retrieval.keyword_topk(g, I.keywords(QUERY_TEXT), limit=20)
     return retrieval.expand_context(g, seeds)
 
 
 @query
 def context_sections(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     seeds = retrieval.keyword_topk(g, I.keywords(QUERY_TEXT), limit=20)
     return retrieval.context_sections(g, retrieval.expand_context(g, seeds))
 
@@ -316,20 +316,20 @@ def node_neighbors(spark, sf) -> DataFrame:
 
 @query
 def clusters(spark, sf) -> DataFrame:
-    c, _ = C.build_clusters(D.code_graph(spark, sf))
+    c, _ = C.build_clusters(D.stored_graph(spark, sf))
     return c.select("cluster_id", "label", "node_count", F.array_join("types", ",").alias("types"), "summary",
                     F.array_join("external_deps", ",").alias("external_deps"))
 
 
 @query
 def node_to_cluster(spark, sf) -> DataFrame:
-    _, m = C.build_clusters(D.code_graph(spark, sf))
+    _, m = C.build_clusters(D.stored_graph(spark, sf))
     return m.select("node_id", "cluster_id")
 
 
 @query
 def cluster_edge_counts(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     _, m = C.build_clusters(g)
     e = C.edge_clusters(g.edges, m.select(F.col("node_id").alias("id"), "cluster_id"))
     return e.groupBy("source_cluster", "target_cluster").agg(F.count(F.lit(1)).alias("edges"))
@@ -337,7 +337,7 @@ def cluster_edge_counts(spark, sf) -> DataFrame:
 
 @query
 def cluster_incoming(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     _, m = C.build_clusters(g)
     e = C.edge_clusters(g.edges, m.select(F.col("node_id").alias("id"), "cluster_id"))
     return C.incoming_deps(e).select("cluster_id", F.array_join("incoming_deps", ",").alias("incoming_deps"))
@@ -384,7 +384,7 @@ def manifest_diff(spark, sf) -> DataFrame:
 
 @query
 def incremental_edges(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     touched = D.files(spark, sf).where(F.col("partkey") % 17 == 0).select("id", F.col("file").alias("path"))
     fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
     fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")
@@ -393,7 +393,7 @@ def incremental_edges(spark, sf) -> DataFrame:
 
 @query
 def incremental_nodes(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     touched = D.files(spark, sf).where(F.col("partkey") % 17 == 0).select("id", F.col("file").alias("path"))
     fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
     fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")
@@ -606,7 +606,7 @@ def document_symbols(spark, sf) -> DataFrame:
 @query
 def graph_diagnostics(spark, sf) -> DataFrame:
     """Unreachable files and rule violations, as messages on files."""
-    g = D.code_graph(spark, sf)
+    g = D.stored_graph(spark, sf)
     return positions.diagnostics(g, rules=layers.rules_table(spark, RULES))
 
 
@@ -631,6 +631,6 @@ def parsed_imports(spark, sf) -> DataFrame:
 
 @query
 def suggestions_by_kind(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf, q=38)
+    g = D.stored_graph(spark, sf)
     found = suggestions.suggest_refactoring(g, layers.rules_table(spark, RULES), complexity_threshold=4)
     return suggestions.counts_by_kind(found)
