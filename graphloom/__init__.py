@@ -3,10 +3,3 @@
 from graphloom.model import PropertyGraph
 
 __all__ = ["PropertyGraph"]
-
-import sys
-
-from pyspark import cloudpickle
-
-# What runs in tasks travels with the job, so that workers need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -111,6 +111,17 @@ def previous_version(versions: DataFrame, current: str) -> DataFrame:
     return v.where(F.col("_v") < version_array(F.lit(current))).agg(F.max_by("version", "_v").alias("version"))
 
 
+def version_order(versions: DataFrame) -> DataFrame:
+    """`(version, previous)` of all distinct versions: the next smaller one, numeric per dotted part."""
+    from graphloom.functions.identifiers import version_array
+    from graphloom.session import with_position
+
+    v = versions.select("version").distinct().withColumn("_v", version_array("version"))
+    at = with_position(v, [F.col("_v"), F.col("version")], "_at").select("version", "_at")
+    before = at.select(F.col("version").alias("previous"), (F.col("_at") + 1).alias("_at"))
+    return at.join(before, "_at", "left").select("version", "previous")
+
+
 def resolve_golden(golden: DataFrame, nodes: DataFrame) -> DataFrame:
     """Selectors (file, label, type) must match exactly one node each."""
     n = nodes.select("file", "label", "type", F.col("id").alias("node_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import identifiers as I
 from graphloom.functions import signatures as S
 from graphloom.model import EDGE_SCHEMA, NODE_SCHEMA, PropertyGraph, conform
-from graphloom.session import cut, spread
+from graphloom.session import cut, ship, spread
 
 CALLABLE_ORD = 1 << 50
 IMPORT_ORD = 1 << 60
@@ -28,6 +28,7 @@ CALL_ORD = 1 << 61
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

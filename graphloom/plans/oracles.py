@@ -108,10 +108,10 @@ _add("graph_stats", [graph()], """SELECT count(*) FILTER (type = 'file') AS file
   count(*) FILTER (type = 'struct') AS structs, count(*) FILTER (type = 'enum') AS enums,
   count(*) FILTER (type = 'protocol') AS protocols, count(*) FILTER (type = 'extension') AS extensions,
   (SELECT count(*) FROM edges) AS edges FROM nodes""")
-_add("raw_dump_lines", [graph()], """SELECT 1 AS part, ord, id || ' | ' || label || ' (' || type || ') | ' || file AS line FROM nodes
+_add("raw_dump_lines", [graph()], """SELECT 0 AS part, 0 AS ord, 'Project: derived' AS line UNION ALL SELECT 1 AS part, ord, id || ' | ' || label || ' (' || type || ') | ' || file AS line FROM nodes
   UNION ALL SELECT 2, ord, source || ' -> ' || target || ' (' || relation || ')' FROM edges""")
-_add("raw_dump_tokens", [graph()], """SELECT CAST(sum(ceil(length(line) / 4.0)) AS BIGINT) AS raw_dump_approx_tokens FROM (
-  SELECT id || ' | ' || label || ' (' || type || ') | ' || file AS line FROM nodes
+_add("raw_dump_tokens", [graph()], """SELECT CAST(ceil((sum(length(line)) + count(*) - 1) / 4.0) AS BIGINT) AS raw_dump_approx_tokens FROM (
+  SELECT 'Project: derived' AS line UNION ALL SELECT id || ' | ' || label || ' (' || type || ') | ' || file FROM nodes
   UNION ALL SELECT source || ' -> ' || target || ' (' || relation || ')' FROM edges)""")
 _add("fan_in", [graph()], "SELECT target AS id, count(*) AS fan_in FROM edges GROUP BY target")
 _add("node_degree", [graph()], """SELECT id, count(*) AS degree FROM (
@@ -149,7 +149,7 @@ _add("trace_impact", [FILES, imports(), "origins AS (SELECT 'part_14' AS origin)
      "SELECT node_id, file, CAST(min(d) AS INT) AS distance FROM reach JOIN files ON id = node_id WHERE node_id <> origin GROUP BY ALL", True)
 _add("trace_impact_depth2", [FILES, imports(), "origins AS (SELECT 'part_1012' AS origin)", REACH.format(depth=2)],
      "SELECT node_id, file, CAST(min(d) AS INT) AS distance FROM reach JOIN files ON id = node_id WHERE node_id <> origin GROUP BY ALL", True)
-_add("all_impact", [imports(), "origins AS (SELECT DISTINCT target AS origin FROM imports)", REACH.format(depth=60)],
+_add("all_impact", [imports(), "origins AS (SELECT 'part_' || p_partkey AS origin FROM part WHERE p_partkey % 50 = 0)", REACH.format(depth=30)],
      "SELECT origin, node_id, CAST(min(d) AS INT) AS distance FROM reach WHERE node_id <> origin GROUP BY ALL", True)
 _add("all_impact_counts", [imports(), CLOSURE], "SELECT origin AS node_id, count(*) AS dependent_count FROM closure WHERE node_id <> origin GROUP BY origin", True)
 _BOTTLENECKS = """scored AS (
@@ -162,6 +162,20 @@ bottlenecks AS (SELECT *, CAST(max_complexity * (1 + dependent_count) AS BIGINT)
 _add("bottlenecks", [FILES, KEYS, CALLABLES, imports(), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks", True)
 _add("bottlenecks_top", [FILES, KEYS, CALLABLES, imports(), CLOSURE, _BOTTLENECKS], "SELECT * FROM bottlenecks ORDER BY score DESC, ord LIMIT 15", True)
 _add("cycles_members", [imports(), CLOSURE, SCC], "SELECT scc_id, node_id FROM scc", True)
+CYCLES = """inside AS (SELECT a.scc_id, i.source, i.target FROM imports i JOIN scc a ON i.source = a.node_id JOIN scc b ON i.target = b.node_id AND a.scc_id = b.scc_id),
+hops AS (
+  SELECT DISTINCT scc_id, scc_id AS node, 0 AS d FROM scc
+  UNION SELECT h.scc_id, i.target, d + 1 FROM hops h JOIN inside i ON i.scc_id = h.scc_id AND i.source = h.node WHERE d < 30),
+tree AS (SELECT scc_id, node, min(d) AS d FROM hops GROUP BY ALL),
+parents AS (SELECT t.scc_id, t.node, t.d, min(i.source) AS parent FROM tree t JOIN inside i ON i.scc_id = t.scc_id AND i.target = t.node
+  JOIN tree s ON s.scc_id = t.scc_id AND s.node = i.source AND s.d = t.d - 1 GROUP BY ALL),
+lasts AS (SELECT t.scc_id, t.node, t.d FROM tree t JOIN inside i ON i.scc_id = t.scc_id AND i.source = t.node AND i.target = t.scc_id
+  QUALIFY row_number() OVER (PARTITION BY t.scc_id ORDER BY t.d, t.node) = 1),
+walk AS (
+  SELECT scc_id, node, d AS pos FROM lasts
+  UNION SELECT w.scc_id, p.parent, w.pos - 1 FROM walk w JOIN parents p ON p.scc_id = w.scc_id AND p.node = w.node),
+cycle_rows AS (SELECT w.scc_id, pos, node AS node_id, coalesce(f.file, node) AS file FROM walk w LEFT JOIN files f ON f.id = w.node)"""
+_add("cycles", [FILES, imports(), CLOSURE, SCC, CYCLES], "SELECT * FROM cycle_rows", True)
 ORACLES["node_size"] = ORACLES["node_size"].replace("\n, d AS", ",\nd AS")
 
 WORDS = "list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda w: lower(w))"
@@ -278,10 +292,10 @@ _SECTION_CTES = [graph(), *keyword_ctes(SMALL_QUERY, None, 20), EXPAND,
        FROM edges e JOIN rel ON rel.id = e.source JOIN nodes t ON t.id = e.target QUALIFY n <= 3) GROUP BY source),
 ins AS (SELECT target AS id, string_agg(label, ', ' ORDER BY n) AS i FROM (SELECT e.target, label, row_number() OVER (PARTITION BY e.target ORDER BY e.ord) AS n
        FROM edges e JOIN rel ON rel.id = e.target JOIN nodes s ON s.id = e.source QUALIFY n <= 2) GROUP BY target),
-lines AS (SELECT pos, file, CASE WHEN type = 'file' THEN '├ 📁 ' ELSE '  ├ ⚙️ ' END || label || ' (' || type || ')' || coalesce(' → ' || o, '') || coalesce(' ← ' || i, '') AS line
+lines AS (SELECT pos, file, CASE WHEN type = 'file' THEN '- ' ELSE '  - ' END || type || ' ' || label || coalesce('; needs ' || o, '') || coalesce('; needed by ' || i, '') AS line
        FROM rel JOIN nodes USING (id) LEFT JOIN outs USING (id) LEFT JOIN ins USING (id))""",
   """sections AS (SELECT min(pos) AS section_ord, file AS section_key, 'file' AS kind, count(*) AS node_count,
-     '📄 ' || file || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY file)"""]
+     'in ' || file || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY file)"""]
 _add("context_sections", _SECTION_CTES, "SELECT * FROM sections")
 _add("budget_fill", _SECTION_CTES, """SELECT section_ord, section_key, CAST(ceil(length(text) / 4.0) + 2 AS BIGINT) AS cost, CAST(sum(ceil(length(text) / 4.0) + 2) OVER w AS BIGINT) AS used,
    sum(ceil(length(text) / 4.0) + 2) OVER w <= 200 OR row_number() OVER w = 1 AS included FROM sections WINDOW w AS (ORDER BY section_ord)""")
@@ -438,14 +452,15 @@ _add("code_lenses", [graph()], """SELECT c.id, c.file, c.line - 1 AS line, coale
   FROM callables c LEFT JOIN (SELECT target, count(*) AS n FROM edges GROUP BY target) ON target = c.id""")
 _add("workspace_symbols", [KEYS, CALLABLES], "SELECT ord, id, label, type, file FROM callables WHERE contains(lower(label), 'part12') ORDER BY ord LIMIT 100")
 _add("viewer_search", [graph()], "SELECT ord, id, label, type, file FROM nodes WHERE contains(lower(label), 'ring') OR contains(lower(file), 'ring') ORDER BY ord LIMIT 20")
-_add("document_symbols", [FILES, KEYS, CALLABLES], "SELECT c.id, c.label, c.line - 1 AS line FROM callables c JOIN files f ON f.file = c.file WHERE f.id = 'part_14'")
-_add("graph_diagnostics", [FILES, imports(), GROUPED, RULES], f"""SELECT source AS node_id, source_file AS file, 'violation' AS kind,
-    'Architecture violation: ' || source_file || ' (' || from_group || ') imports ' || target_file || ' (' || to_group || ')' AS message
+_add("document_symbols", [FILES, KEYS, CALLABLES], "SELECT c.id, c.label, CASE c.type WHEN 'method' THEN 6 ELSE 12 END AS kind, c.line - 1 AS line FROM callables c JOIN files f ON f.file = c.file WHERE f.id = 'part_14'")
+_add("graph_diagnostics", [FILES, imports(), GROUPED, RULES, CLOSURE, SCC, CYCLES], f"""SELECT source AS node_id, source_file AS file, 'violation' AS kind,
+    'layer rule broken: ' || source_file || ' [' || from_group || '] depends on ' || target_file || ' [' || to_group || ']' AS message
   FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
-  UNION ALL SELECT id, file, 'unreachable', 'Unreachable file — no other file imports ' || file FROM files f
+  UNION ALL SELECT node_id, file, 'cycle', 'import cycle through ' || string_agg(file, ' → ' ORDER BY pos) OVER (PARTITION BY scc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) FROM cycle_rows
+  UNION ALL SELECT id, file, 'unreachable', 'nothing imports ' || file FROM files f
   WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
     AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
-      AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))""")
+      AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))""", True)
 
 # --- parsing -------------------------------------------------------------
 
@@ -460,10 +475,32 @@ _add("parsed_edges", [PARSED], """SELECT CASE WHEN ext = 'java' THEN fid || '__o
   UNION ALL SELECT q.id, r.id, 'calls' FROM q JOIN q r ON q.o = r.o AND q.prev = r.k""")
 _add("parsed_imports", [PARSED], """SELECT DISTINCT 'orders/o' || o || '.' || ext AS file_path, unnest(CASE ext WHEN 'py' THEN ['os', 'sys'] WHEN 'go' THEN [] WHEN 'ts' THEN ['./x'] WHEN 'js' THEN ['./y']
   WHEN 'kt' THEN ['com.acme.Thing'] WHEN 'swift' THEN ['UIKit'] WHEN 'java' THEN ['java.util.List'] ELSE ['Thing.h'] END) AS specifier FROM q""")
-_add("suggestions_by_kind", [FILES, KEYS, CALLABLES, imports(), GROUPED, RULES, CLOSURE, SCC], f"""SELECT * FROM (
+_add("suggestions_by_kind", [FILES, KEYS, CALLABLES, imports(), GROUPED, RULES, CLOSURE, SCC, DOC_HASH, DOC_CALLS, DUP_SIZES, _COMMON], f"""SELECT * FROM (
+  SELECT 'duplication' AS kind, count(*) AS suggestions FROM sizes WHERE duplicate_hash NOT IN (SELECT duplicate_hash FROM common) UNION ALL
   SELECT 'cycle' AS kind, count(DISTINCT scc_id) AS suggestions FROM scc
   UNION ALL SELECT 'architecture-violation', count(*) FROM grouped WHERE EXISTS (SELECT 1 FROM rules WHERE (rule_from = '*' OR rule_from = from_group) AND (rule_to = '*' OR rule_to = to_group))
   UNION ALL SELECT 'high-complexity', count(*) FROM callables WHERE complexity >= 4
   UNION ALL SELECT 'dead-code', count(*) FROM files f WHERE grp <> 'test' AND NOT {ENTRY} AND NOT EXISTS (SELECT 1 FROM imports WHERE target = f.id)
     AND NOT EXISTS (SELECT 1 FROM files g WHERE g.file <> f.file AND g.noun = f.noun
       AND regexp_replace(g.file, '/[^/]*$', '') = regexp_replace(f.file, '/[^/]*$', ''))) WHERE suggestions > 0""", True)
+
+# --- graph views, exports ------------------------------------------------
+
+_ONE = "one AS (SELECT file FROM files WHERE id = 'part_14')"
+_add("file_members", [graph(), _ONE], "SELECT ord, id, label, type FROM nodes JOIN one USING (file) WHERE type <> 'file'")
+_add("file_external_edges", [graph(), _ONE], """SELECT e.ord, t.label AS target_label, s.label AS source_label FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target
+  WHERE s.file = (SELECT file FROM one) AND t.file <> s.file""")
+_add("dependencies_by_type", [graph()], """SELECT type, count(*) AS total, min(ord) AS first, string_agg(label || ' by ' || relation, '; ' ORDER BY ord) FILTER (rn <= 5) AS shown FROM (
+  SELECT e.ord, relation, type, label, row_number() OVER (PARTITION BY type ORDER BY e.ord) AS rn FROM edges e JOIN nodes n ON n.id = e.source WHERE target = 'part_14') GROUP BY type""")
+_add("impact_by_distance", [FILES, imports(), "origins AS (SELECT 'part_14' AS origin)", REACH.format(depth=200)],
+     "SELECT distance, count(*) AS files FROM (SELECT node_id, CAST(min(d) AS INT) AS distance FROM reach JOIN files ON id = node_id WHERE node_id <> origin GROUP BY ALL) GROUP BY distance", True)
+_add("viewer_links", [graph()], "SELECT source, target, relation FROM edges WHERE source <> target AND source <> '' AND target <> ''")
+_add("references", [graph(), _ONE], """SELECT n.id, n.file, greatest(coalesce(n.line, 1) - 1, 0) AS line FROM nodes n WHERE n.id IN (SELECT source FROM edges WHERE target = coalesce(
+  (SELECT id FROM callables WHERE file = (SELECT file FROM one) AND line = 1 ORDER BY ord LIMIT 1), 'part_14'))""")
+_add("export_json", [graph()], """SELECT ord, '{"source":"' || source || '","target":"' || target || '","relation":"' || relation || '"}' AS value FROM edges""")
+_CSV = "CASE WHEN regexp_matches({0}, '[\",\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+_add("export_csv", [graph()], """SELECT ord, id || ',' || label || ',' || type || ',' || file || ',' || grp || ',' || coalesce(CAST(line AS VARCHAR), '') || ',' AS value FROM nodes
+  UNION ALL SELECT ord, source || ',' || target || ',' || relation FROM edges""")
+_XML = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_add("escaped_labels", ["x AS (SELECT doc_id, coalesce(text, '') AS t, text FROM documents)"],
+     f"SELECT doc_id, sha256({_CSV.format('t')}) AS csv_sha256, sha256({_XML.format('text')}) AS xml_sha256 FROM x")

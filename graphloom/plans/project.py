@@ -12,7 +12,7 @@ from graphloom.operators.diff import carry_over, manifest_diff
 from graphloom.operators.expect_actual import with_expect_actual
 from graphloom.operators.resolve import import_edges
 from graphloom.operators.stats import dedup_edges, first_definition
-from graphloom.session import cut, with_position
+from graphloom.session import cut, ship, with_position
 from graphloom.sources import files as S
 from graphloom.sources.parse import FILE_SPAN, parse
 from graphloom.sources.store import load_graph, load_manifest, save_graph, versions
@@ -50,6 +50,7 @@ def _imports(raw: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_graph(spark: SparkSession, root: str, project: str = "project", config: S.ScanConfig | None = None,
                 previous: PropertyGraph | None = None, previous_manifest: DataFrame | None = None) -> tuple[PropertyGraph, DataFrame, DataFrame]:
     """`(graph, manifest, warnings)`; with a previous state only changed files are parsed."""
+    ship(spark)
     files, warnings = S.scan(spark, root, config)
     files = cut(files)
     manifest = S.manifest_of(files)

@@ -15,7 +15,8 @@ from graphloom.operators import diff, evaluation, expect_actual, layers, positio
 from graphloom.plans import derived as D
 from graphloom.plans.derived_source import order_sources
 from graphloom.session import spread
-from graphloom.sources import parse
+from graphloom.plans import tools
+from graphloom.sources import parse, store
 
 QUERIES: dict[str, Callable] = {}
 
@@ -154,9 +155,9 @@ def trace_impact_depth2(spark, sf) -> DataFrame:
 
 @query
 def all_impact(spark, sf) -> DataFrame:
-    g = D.import_graph(spark, sf)
-    origins = reachability.import_edges(g).select(F.col("target").alias("origin")).distinct()
-    return reachability.multi_source_impact(g, origins)
+    # The stated query set: every fiftieth part against all files.
+    origins = D.files(spark, sf).where("partkey % 50 = 0").select(F.col("id").alias("origin"))
+    return reachability.multi_source_impact(D.import_graph(spark, sf), origins)
 
 
 @query
@@ -497,10 +498,8 @@ def benchmark_summary(spark, sf) -> DataFrame:
 
 @query
 def version_order(spark, sf) -> DataFrame:
-    v = D.table(spark, sf, "orders").select(F.concat_ws(".", F.col("o_custkey") % 3, F.col("o_orderkey") % 17, F.col("o_orderkey") % 5).alias("version")).distinct()
-    w = Window.orderBy("_v")
-    # At most 255 distinct versions whatever the table size.
-    return v.withColumn("_v", I.version_array("version")).select("version", F.lag("version").over(w).alias("previous"))
+    v = D.table(spark, sf, "orders").select(F.concat_ws(".", F.col("o_custkey") % 3, F.col("o_orderkey") % 17, F.col("o_orderkey") % 5).alias("version"))
+    return evaluation.version_order(v)
 
 
 # --- paths, positions ----------------------------------------------------
@@ -597,17 +596,14 @@ def viewer_search(spark, sf) -> DataFrame:
 
 @query
 def document_symbols(spark, sf) -> DataFrame:
-    g = D.code_graph(spark, sf)
-    path = D.files(spark, sf).where("partkey = 14").select("file")
-    rows = g.nodes.join(path, "file", "left_semi").where(F.col("type") != "file")
-    return rows.select("id", "label", positions.node_line().alias("line"))
+    return positions.document_symbols(D.code_graph(spark, sf), _one_path(spark, sf)).drop("ord")
 
 
 @query
 def graph_diagnostics(spark, sf) -> DataFrame:
-    """Unreachable files and rule violations, as messages on files."""
+    """Unreachable files, rule violations and import cycles, as messages on files."""
     g = D.stored_graph(spark, sf)
-    return positions.diagnostics(g, rules=layers.rules_table(spark, RULES))
+    return positions.diagnostics(g, reachability.cycles(g), layers.rules_table(spark, RULES))
 
 
 # --- parsing -------------------------------------------------------------
@@ -629,8 +625,82 @@ def parsed_imports(spark, sf) -> DataFrame:
     return parse.raw_imports(src.withColumn("lang", parse.language(F.col("ext"))))
 
 
+def _suggestions(spark, sf) -> DataFrame:
+    """All kinds: code from the orders, copied bodies from the documents."""
+    g, d = D.stored_graph(spark, sf), D.document_graph(spark, sf)
+    both = g.with_(nodes=g.nodes.unionByName(d.nodes), edges=g.edges.unionByName(d.edges))
+    return suggestions.suggest_refactoring(both, layers.rules_table(spark, RULES), complexity_threshold=4)
+
+
 @query
 def suggestions_by_kind(spark, sf) -> DataFrame:
-    g = D.stored_graph(spark, sf)
-    found = suggestions.suggest_refactoring(g, layers.rules_table(spark, RULES), complexity_threshold=4)
-    return suggestions.counts_by_kind(found)
+    """Without near duplicates, whose groups SQL cannot form; `suggestion_feed` has them."""
+    return suggestions.counts_by_kind(_suggestions(spark, sf).where("kind <> 'near-duplication'"))
+
+
+@query
+def suggestion_feed(spark, sf) -> DataFrame:
+    return suggestions.feed(_suggestions(spark, sf))
+
+
+# --- graph views, exports ------------------------------------------------
+
+def _one_path(spark, sf) -> str:
+    return D.files(spark, sf).where("partkey = 14").select("file").head()["file"]
+
+
+@query
+def file_members(spark, sf) -> DataFrame:
+    """A file's declarations."""
+    return tools.file_members(D.code_graph(spark, sf), _one_path(spark, sf))[0].select("ord", "id", "label", "type")
+
+
+@query
+def file_external_edges(spark, sf) -> DataFrame:
+    """Edges of a file and its declarations that end elsewhere."""
+    return tools.file_members(D.stored_graph(spark, sf), _one_path(spark, sf))[1]
+
+
+@query
+def dependencies_by_type(spark, sf) -> DataFrame:
+    found = tools.dependencies(D.code_graph(spark, sf), "part_14", "incoming")
+    return found.select("type", "total", "first", F.array_join("shown", "; ").alias("shown"))
+
+
+@query
+def impact_by_distance(spark, sf) -> DataFrame:
+    hits = reachability.trace_impact(D.import_graph(spark, sf), "part_14")
+    return hits.groupBy("distance").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query
+def viewer_links(spark, sf) -> DataFrame:
+    return positions.viewer_links(D.code_graph(spark, sf)).drop("ord")
+
+
+@query
+def references(spark, sf) -> DataFrame:
+    return positions.references_at(D.stored_graph(spark, sf), _one_path(spark, sf), 0).drop("ord")
+
+
+@query
+def export_json(spark, sf) -> DataFrame:
+    return store.json_rows(D.code_graph(spark, sf)).where("kind = 'edge'").select("ord", "value")
+
+
+@query
+def export_csv(spark, sf) -> DataFrame:
+    nodes, edges = store.csv_rows(D.code_graph(spark, sf))
+    return nodes.select("ord", "value").unionByName(edges.select("ord", "value"))
+
+
+@query
+def export_graphml(spark, sf) -> DataFrame:
+    return store.graphml_rows(D.import_graph(spark, sf))
+
+
+@query
+def escaped_labels(spark, sf) -> DataFrame:
+    """Whole texts as CSV fields and XML text."""
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", F.sha2(I.csv_field("text").cast("binary"), 256).alias("csv_sha256"), F.sha2(I.xml_escape("text").cast("binary"), 256).alias("xml_sha256"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from graphloom.session import ship
 from graphloom.sources.files import IGNORED_DIRS
 
 SCHEMA = "path string, status string, mtime_ns long, size long"
@@ -123,4 +124,5 @@ class ProjectWatch(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(ProjectWatch)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from graphloom.operators.telemetry import CACHE_TTL_SECONDS, KEYWORD_SIMILARITY
+from graphloom.session import ship
 
 CACHE_OUT = "project string, at_ms long, cache_hit boolean, full_footer boolean"
 QUIET_OUT = "key string, events long, first_us long, last_us long"
@@ -20,6 +21,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
+    ship(spark)
     if "RocksDB" not in (spark.conf.get(PROVIDER, "") or ""):
         spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
