@@ -1,15 +1,17 @@
 """Exact dedup through an extendible-hash index kept as shared files.
 
-Keys are 64-bit hashes of the normalised texts.  The directory starts with one bucket; as long as a
-bucket holds more bytes than a page and its keys still differ, it splits on the next bit (the directory
-doubles).  A bucket whose one key overflows cannot split: it becomes a chain of overflow pages.  An
-owner task takes a bucket (a range of keys) or one page of a chain, lays equal keys' texts side by side and
-compares bytes.  Everything is DataFrame work: nothing of the directory or of a chain passes through
-the driver.
+Keys are 64-bit hashes of the normalised texts.  A key above half a page gets a chain of overflow pages of its own, which its
+copies are dealt over.  The others fill the directory.  It starts with one bucket; as long as a bucket holds more bytes than a
+page, it splits on the next bit (the directory doubles), until there are about four entries a page of text.  A bucket
+that is still too full then chains pages over which its keys are dealt.  An owner task takes a bucket (a range of keys) or one
+page of a chain, lays equal keys' texts side by side and compares bytes.  Everything is DataFrame work: nothing of the directory or
+of a chain passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +31,21 @@ def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, page_bytes: int = PAGE_BYTES, max_depth: int = 48) -> tuple[DataFrame, int]:
-    """(entry, bucket) of every directory entry at the final depth, and that depth.
+def directory(keys: DataFrame, page_bytes: int = PAGE_BYTES) -> tuple[DataFrame, int]:
+    """(entry, bucket, pages) of every directory entry at the final depth, and that depth.
 
-    keys: (h, bytes), one row per distinct key.  Level by level, a bucket over `page_bytes` with more
-    than one key gives way to its halves; only keys below an overfull bucket are counted again.
+    keys: (h, bytes), one row per distinct key.  Level by level, a bucket over `page_bytes` gives way to its halves; only keys
+    below an overfull bucket are counted again.  The depth ends at two more than the bytes would need in full pages, so there are at
+    most eight entries a page; a bucket over `page_bytes` there has several `pages`.
     """
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    deepest = max(0, math.ceil(math.log2(max(1.0, total / page_bytes)))) + 2
     found: list[DataFrame] = []
     depth, live = 0, keys
     while True:
-        level = cut(live.groupBy(_prefix(depth).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("keys")))
-        over = (F.col("bytes") > page_bytes) & (F.col("keys") > 1) & F.lit(depth < max_depth)
-        found.append(level.where(~over).select(F.lit(depth).alias("depth"), "prefix"))
+        level = cut(live.groupBy(_prefix(depth).alias("prefix")).agg(F.sum("bytes").alias("bytes")))
+        over = (F.col("bytes") > page_bytes) & F.lit(depth < deepest)
+        found.append(level.where(~over).select(F.lit(depth).alias("depth"), "prefix", F.ceil(F.col("bytes") / page_bytes).cast("int").alias("pages")))
         splits = level.where(over).select("prefix")
         if splits.isEmpty():
             break
@@ -51,8 +56,8 @@ def directory(keys: DataFrame, page_bytes: int = PAGE_BYTES, max_depth: int = 48
         buckets = buckets.unionByName(d)
     # A bucket of lesser depth is named by several entries of the doubled directory.
     spread = F.expr(f"sequence(0L, shiftleft(1L, {depth} - depth) - 1L)")
-    out = buckets.select(F.expr(f"shiftleft(prefix, {depth} - depth)").alias("bucket"), F.explode(spread).alias("low"), "depth")
-    return cut(out.select((F.col("bucket") + F.col("low")).alias("entry"), "bucket")), depth
+    out = buckets.select(F.expr(f"shiftleft(prefix, {depth} - depth)").alias("bucket"), F.explode(spread).alias("low"), "pages")
+    return cut(out.select((F.col("bucket") + F.col("low")).alias("entry"), "bucket", F.greatest("pages", F.lit(1)).alias("pages"))), depth
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -67,15 +72,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.select("doc_id", F.length("text").cast("long").alias("n"), normalised(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
     # One row per key, whatever its copies.
     keys = cut(base.groupBy("h").agg(F.sum(F.octet_length("norm").cast("long") + 64).alias("bytes")))
-    entries, depth = directory(keys, page_bytes)
-    chains = cut(keys.where(F.col("bytes") > page_bytes).select("h", F.ceil(F.col("bytes") / page_bytes).cast("int").alias("pages")))
+    large = F.col("bytes") > page_bytes / 2
+    entries, depth = directory(keys.where(~large), page_bytes)
+    chains = cut(keys.where(large).select("h", F.ceil(F.col("bytes") / page_bytes).cast("int").alias("chain")))
     # Both tables have a row per few MB of text; Spark broadcasts them below its threshold and shuffles beyond.
-    paged = (
-        base.withColumn("entry", _prefix(depth)).join(entries, "entry", "left").join(chains, "h", "left")
-        .withColumn("pages", F.coalesce("pages", F.lit(1))).withColumn("page", F.pmod(F.hash("doc_id", "n"), "pages"))
+    paged = base.withColumn("entry", _prefix(depth)).join(entries, "entry", "left").join(chains, "h", "left").select(
+        "h", "norm", "n", "doc_id", F.coalesce("chain", F.lit(1)).alias("pages"),
+        # A chain is a bucket of its own; copies of its key are dealt over its pages, keys of a bucket over the bucket's.
+        F.when(F.col("chain").isNull(), F.col("bucket")).otherwise(F.col("h")).alias("bucket"), F.col("chain").isNotNull().alias("own"),
+        F.when(F.col("chain").isNull(), F.pmod(F.hash("h"), F.col("pages"))).otherwise(F.pmod(F.hash("doc_id", "n"), F.col("chain"))).alias("page"),
     )
-    owned = paged.select("bucket", "page", "pages", "h", "norm", "n", "doc_id", F.sha2("norm", 256).alias("text_sha256")).repartition("bucket", "page")
-    same = Window.partitionBy("bucket", "page", "h", "norm")
+    owned = paged.select("bucket", "own", "page", "pages", "h", "norm", "n", "doc_id", F.sha2("norm", 256).alias("text_sha256")).repartition("bucket", "own", "page")
+    same = Window.partitionBy("bucket", "own", "page", "h", "norm")
     first = same.orderBy(F.desc("n"), "doc_id")
     index = cut(
         owned.withColumns({"rn": F.row_number().over(first), "rep": F.first("doc_id").over(first), "size": F.count(F.lit(1)).over(same)})

@@ -221,10 +221,11 @@ def without(text: str, gone: set[int]) -> str:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of `docs` with `text` after deletion, and `removed_lines`, `removed_words`, `partners`.
 
-    Rows need `doc_id` and `text`; extra columns stay as they are.  Null texts stay null and have no lines; a null id takes no part and stays
+    Rows need `doc_id` and `text`; extra columns stay as they are, but for those of the three names, which give way.  Null texts stay null and have no lines; a null id takes no part and stays
     whole.  Rows that repeat id and text are one document and treated alike; equal ids with different texts follow each other by the text's
     hash.  A text that loses all its lines becomes empty.  An empty table gives no rows.
     """
+    docs = docs.drop("removed_lines", "removed_words", "partners")
     at = docs.columns.index("text")
     th, key, gone, partners = (f"_{c}_{'_'.join(docs.columns)}" for c in ("th", "id", "gone", "partners"))  # no column of the input
     keyed = spread(docs).withColumns({th: F.xxhash64("text"), key: F.col("doc_id").cast("long")})

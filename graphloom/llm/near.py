@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import connected, rows_to_batches
@@ -150,3 +150,18 @@ def survivors(docs: DataFrame, shingle: int = 5, tile: int = TILE) -> DataFrame:
     labelled = nodes.join(connected(sure), "node", "left").select("node", "fp", "shingles", F.coalesce("root", "node").alias("label"))
     roots = connected(sure.unionByName(verified(candidates(labelled, tile), nodes, docs, shingle)))
     return nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("least").alias("least")).select("least.doc_id", "least.th")
+
+
+def keep_survivors(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: one of each group of near duplicates, as `survivors` chooses them.
+
+    Rows that repeat id and text are one document, of which the first by the other columns stays; a null text is an empty one.
+    Columns may have any names.
+    """
+    mark = "_".join(["_near", *docs.columns])  # no column of the input
+    th, text, kept_id, kept_th, rn = (f"{mark}_{c}" for c in ("th", "text", "id", "kept", "rn"))
+    keyed = docs.withColumns({text: F.coalesce("text", F.lit("")), th: F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = survivors(keyed.select("doc_id", F.col(th).alias("th"), F.col(text).alias("text")), shingle).select(F.col("doc_id").alias(kept_id), F.col("th").alias(kept_th))
+    kept = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(th) == F.col(kept_th)), "left_semi")
+    first = Window.partitionBy("doc_id", th).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull())
+    return kept.withColumn(rn, F.row_number().over(first)).where(F.col(rn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -130,8 +130,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label: str = "quality") -> FactorisationMachine:
     """Fits on at most about `max_rows` labelled documents that are not held out, chosen by a hash of the id.
 
-    Of an id labelled twice the lesser label counts.  The bound keeps what reaches the driver constant; the labelled ids are broadcast
-    under the same bound.
+    Of an id labelled twice the lesser label counts, of one with several texts the text with the least hash.  The bound keeps what reaches
+    the driver constant; the labelled ids are broadcast under the same bound.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
     total = known.count()
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, label: str =
 
         yield from rows_to_batches(rows(), schema)
 
-    sample = texts(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    sample = texts(docs).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     got = sample.mapInArrow(extract, "doc_id long, label int, idx binary, val binary").collect()
     data = [(np.frombuffer(r.idx, np.int32).astype(np.int64), np.frombuffer(r.val, np.float32).astype(np.float64), r.label) for r in sorted(got, key=lambda r: (r.doc_id, bytes(r.idx)))]
     return fit(data)

@@ -71,6 +71,8 @@ def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     slot outright (stored as -1 - slot).
     """
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        raise ValueError("equal keys")
     groups = max(1, n // GROUP_KEYS)
     group = (mixed(keys, 1) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
@@ -129,7 +131,6 @@ def write(docs: DataFrame, path: str, end_id: int = 1, width: int = 2, id_col: s
         encode = encoder(path)
 
         def out():
-            first = True
             sink, at, last, seen = None, 0, None, 0
             for i, text in id_texts(batches):
                 if sink is None:
@@ -140,9 +141,10 @@ def write(docs: DataFrame, path: str, end_id: int = 1, width: int = 2, id_col: s
                 if width == 2 and ids.max() > 0xFFFF:
                     raise ValueError("an id needs more than two bytes")
                 sink.write(ids.astype(kind).tobytes())
-                seen = 0 if first or i != last else seen + 1
-                first, last = False, i
-                yield NO_ID if i is None else i, seen, i is None, shard, at, len(ids)
+                key = NO_ID if i is None else i
+                seen = seen + 1 if key == last else 0
+                last = key
+                yield key, seen, i is None, shard, at, len(ids)
                 at += len(ids)
             if sink is not None:
                 sink.close()
@@ -150,7 +152,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1, width: int = 2, id_col: s
 
         yield from rows_to_batches(out(), schema)
 
-    keys = cut(ordered(rows).mapInArrow(run, "key_id long, occurrence int, is_null boolean, shard int, offset long, n long"))
+    keys = _across_shards(cut(ordered(rows).mapInArrow(run, "key_id long, occurrence int, is_null boolean, shard int, offset long, n long")))
     total = keys.count()
     buckets = max(1, -(-total // BUCKET_KEYS))
     index_schema = "bucket long, n int, disp binary, prints binary, shard binary, offset binary, length binary"
@@ -171,6 +173,20 @@ def write(docs: DataFrame, path: str, end_id: int = 1, width: int = 2, id_col: s
     return TokenFiles(folder, shards, built, keys.select("key_id", "occurrence", "is_null"))
 
 
+def _across_shards(keys: DataFrame) -> DataFrame:
+    """Occurrences that go on where an id's texts lie in several shards.
+
+    Shards follow the ids, so such an id is the last of one and the first of the next: two rows a shard tell how many came before.
+    """
+    ends = keys.groupBy("shard").agg(F.min("key_id").alias("a"), F.max("key_id").alias("b"))
+    ends = ends.select("shard", F.explode(F.array_distinct(F.array("a", "b"))).alias("key_id"))
+    held = keys.join(F.broadcast(ends), ["shard", "key_id"]).groupBy("key_id", "shard").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy("key_id").orderBy("shard")) - F.col("held")
+    start = held.select("shard", "key_id", before.cast("int").alias("start")).where("start > 0")
+    moved = keys.join(F.broadcast(start), ["shard", "key_id"], "left")
+    return cut(moved.select("key_id", (F.col("occurrence") + F.coalesce("start", F.lit(0))).alias("occurrence"), "is_null", "shard", "offset", "n"))
+
+
 def locate(files: TokenFiles, keys: DataFrame) -> DataFrame:
     """(key_id, occurrence, shard, offset, n) of the keys (key_id, occurrence) that the index has.
 

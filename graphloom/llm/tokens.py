@@ -71,14 +71,39 @@ def encoding(path: str) -> tiktoken.Encoding:
     return held[path]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens that a tokenizers file finds in the raw text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("another kind of added token")
+    return {t["content"]: t["id"] for t in added}
+
+
+def around_added(encode: Callable[[str], np.ndarray], path: str) -> Callable[[str], np.ndarray]:
+    """`encode` for what lies between the file's added tokens, which have their own ids wherever a text holds them."""
+    added = added_tokens(path)
+    if not added:
+        return encode
+    split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def whole(text: str) -> np.ndarray:
+        parts = split(text)
+        if len(parts) == 1:
+            return encode(text)
+        return np.concatenate([np.array([added[x]], np.uint32) if k % 2 else encode(x) for k, x in enumerate(parts)])
+
+    return whole
+
+
 def byte_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Text to ids (uint32) by a byte-level BPE; special tokens' strings in a text are ordinary text."""
+    """Text to ids (uint32) by a byte-level BPE; a tokenizers file's added tokens count as in the tokenizers library."""
     e = encoding(path)
 
     def encode(text: str) -> np.ndarray:
         return np.concatenate([np.zeros(0, np.uint32), *[e.encode_to_numpy(s, allowed_special=set(), disallowed_special=()) for s in slices(text)]])
 
-    return encode
+    return around_added(encode, path) if path.endswith(".json") else encode
 
 
 def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -98,7 +123,7 @@ OLD = "\u0500"  # the letters and digits below are the same in all Unicode versi
 
 
 def word_encoder(path: str, limit: int = 1 << 19) -> Callable[[str], np.ndarray]:
-    """Text to ids (uint32) by a tokenizers file that drops white space; special tokens' strings are ordinary text.
+    """Text to ids (uint32) by a tokenizers file that drops white space, its added tokens as in the tokenizers library.
 
     No token crosses white space, so a text is cut at spaces and line feeds.  Pieces that the process met before come from a
     table of at most `limit` entries.  New ones go together, a NUL between them, through the file's normalizer and its pattern, and each
@@ -146,4 +171,4 @@ def word_encoder(path: str, limit: int = 1 << 19) -> Callable[[str], np.ndarray]
                 known[p] = array("I", t.encode(p, add_special_tokens=False).ids).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
 
-    return encode
+    return around_added(encode, path)

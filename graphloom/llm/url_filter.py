@@ -29,10 +29,9 @@ def _rest(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
 
 
-def _suffixes(h: Column) -> Column:
-    """`a.b.c`, `b.c`, `c` of host `a.b.c`."""
-    parts = F.split(h, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+def _suffixes(h: Column, most: int) -> Column:
+    """`a.b.c`, `b.c`, `c` of host `a.b.c`, those of at most `most` labels."""
+    return F.array_distinct(F.array(*[F.substring_index(h, ".", -k) for k in range(1, most + 1)]))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -50,9 +49,11 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             F.when(F.instr("rule", "/") > 0, F.substring(F.col("rule"), F.instr("rule", "/"), F.length("rule"))).otherwise("").alias("path"),
         ).alias("r"),
     )
+    # No suffix longer than the rules' is asked for, however many labels a host has.
+    most = parts.agg(F.max(F.size(F.split("suffix", r"\.")))).first()[0] or 1
     hosts = urls.select("host").distinct()
     of_host = (
-        hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("suffix")).join(parts, "suffix")
+        hosts.select("host", F.explode(_suffixes(F.col("host"), most)).alias("suffix")).join(parts, "suffix")
         .groupBy("host").agg(F.collect_list("r").alias("_rules"))
     )
     best = F.array_max(F.filter("_rules", lambda r: F.col("path").startswith(r["path"])))

@@ -314,7 +314,6 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 def ordinary(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -379,6 +378,68 @@ def test_token_files(spark, hard, docs, empty):
     assert wide == len(HARD)
 
 
+@pytest.mark.parametrize("path,encoder", [(BYTES, tokens.byte_encoder), (WORDS, tokens.word_encoder)])
+def test_added_tokens_as_in_the_library(path, encoder):
+    encode, t = encoder(path), Tokenizer.from_file(path)
+    for x in ["abc <|endoftext|> def", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|startoftext|>A  b <|ENDOFTEXT|>", "<|endof text|>", "<|endoftext|" * 3, " <|endoftext|>\n", "é<|endoftext|>\u0301"]:
+        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_token_files_of_one_id(spark):
+    """More than one shard holds the texts of one id, and null ids."""
+    rows = [(None if i % 2 else 7, f"text {i} " * (i % 5)) for i in range(2000)] + [(8, "x"), (-5, "y")]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), WORDS)
+        got = sorted(map(tuple, token_files.digests(files).collect()), key=sort_key)
+        assert files.shards.count() > 2 and files.keys.distinct().count() == len(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    encode, want, at = ordinary(WORDS), [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash_signed(r[1]))):
+        ids = np.array([*encode(t), 1], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == sorted(want, key=sort_key)
+
+
+def test_equal_keys_have_no_perfect_hash():
+    with pytest.raises(ValueError):
+        token_files.build(np.array([5, 5, 9], np.uint64))
+
+
+def test_directory_stays_in_proportion(spark):
+    keys = spark.range(4000).select(F.xxhash64("id").alias("h"), F.lit(100).cast("long").alias("bytes"))
+    entries, depth = exact_dedup.directory(keys, page_bytes=150)
+    assert entries.count() <= 1 << depth <= 8 * 4000 * 100 / 150
+    docs = spark.range(600).select("id", F.concat(F.repeat(F.lit("ab "), 60), F.col("id") % 150).alias("text"))
+    got = exact_dedup.exact_groups(docs, id_col="id", page_bytes=150).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(i, 4) for i in range(150)} and sum(r.kept for r in got) == 150
+
+
+def test_quality_learns_from_one_text_an_id(spark):
+    rows = [(i, f"good words {i} " * 5) for i in range(40)] + [(5, f"other text {i}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+    try:
+        quality.fit = lambda data: seen.append(len(data)) or fit(data)
+        quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    finally:
+        quality.fit = fit
+    assert seen and seen[0] <= 40
+
+
+def test_hosts_of_very_many_labels(spark):
+    urls = spark.createDataFrame([("http://" + "a." * 300_000 + "net/en/",), ("http://x.net/",)], "url string")
+    rules = url_filter.rule_table(spark, URL_RULES)
+    got = url_filter.match_rules(urls.select(url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path")), rules)
+    assert [r.rule for r in got.collect()] == ["net/", "net/"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 4096])
 def test_minimal_perfect_hash(n):
     keys = token_files.key_of(np.arange(n) * 7 - 3, np.zeros(n, np.int64))

@@ -136,3 +136,21 @@ def test_run_is_the_stages_in_order(spark, docs):
     for _, stage in P.STAGES:
         kept = stage(spark, kept, SF)
     assert sorted(map(tuple, P.run(spark, SF).collect())) == sorted(map(tuple, kept.collect()))
+
+
+def test_stages_keep_columns_that_clash(spark):
+    import corpus_pipeline
+
+    names = ["_th", "_text", "_rn", "_kept", "th", "removed_lines", "removed_words", "partners", "gone"]
+    block = "\n".join(f"line {k} with some words in it" for k in range(6))
+    rows = [(i, f"own words of document number {i} go here\n{block}", *[f"{n}{i}" for n in names]) for i in range(4)] + [(9, "another text altogether with its own words", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    lines = corpus_pipeline.line_stage(spark, docs, "")
+    assert lines.columns == docs.columns
+    got = {r.doc_id: r for r in lines.collect()}
+    assert got[1].text == "own words of document number 1 go here" and got[0].text == rows[0][1]
+    assert all(got[i][n] == f"{n}{i}" for i in range(4) for n in names)
+    near = corpus_pipeline.near_stage(spark, docs, "")
+    assert near.columns == docs.columns
+    kept = {r.doc_id: r for r in near.collect()}
+    assert set(kept) >= {0, 9} and all(kept[0][n] == f"{n}0" for n in names)
