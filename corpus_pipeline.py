@@ -7,7 +7,7 @@ last return the columns of `documents`.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_dedup, near, packing, quality
@@ -22,9 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the blocks of lines that align with an earlier one."""
-    out = line_dedup.dedup_lines(docs)
-    kept = [F.when(F.col("removed_lines") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*kept)
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # names that clash with nothing
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(others))
+    chars = F.when(F.col("removed_lines") > 0, F.length("text"))
+    return out.select(*[
+        (F.coalesce(chars.cast(docs.schema[c].dataType), F.col(others[c])) if c == "n_chars" else F.col(others.get(c, c))).alias(c) for c in docs.columns
+    ])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null id comes last.  Rows that repeat id and text are one document.
     """
-    keyed = docs.withColumns({"_th": F.xxhash64(F.coalesce("text", F.lit(""))), "_text": F.coalesce("text", F.lit(""))})
-    kept = near.survivors(keyed.select("doc_id", F.col("_th").alias("th"), F.col("_text").alias("text"))).select(F.col("doc_id").alias("_kept"), "th")
-    kept = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("th")), "left_semi")
-    first = Window.partitionBy("doc_id", "_th").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull())
-    return kept.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select(*docs.columns)
+    return near.keep_survivors(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
