@@ -1,7 +1,7 @@
 """HTML extraction with site template removal.
 
 A page is parsed into elements.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments go by their tags, roles and class words; what is left of the article is cut into block
+and reader comments go by their tags, roles and class words (within an article by whole names, but for a few clear words); what is left of the article is cut into block
 elements, each hashed with all below it.  Spark counts, per host, in how many different articles each
 subtree occurs; subtrees that recur across many of them are the site's template and go too.  Copies of one
 article count once, so a page that a site serves many times does not become its own template.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -43,22 +44,25 @@ ALWAYS = frozenset(
     " commentlist disqus respond reply replies share sharing social related recommended recommendations widget widgets login signup pagination pager"
     " toolbar copyright".split()
 )
+# Of these, what marks noise inside an article also as a part of a longer name; `social-history` or `share-prices` are an article's own.
+CLEAR = frozenset("ad ads advert adverts advertisement sponsored breadcrumb breadcrumbs cookie cookies consent gdpr disqus navbar sidebar popup newsletter".split())
 OUTSIDE = frozenset(["header", "masthead", "topbar", "search"])  # such things within an article hold its title
 ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
 class Element:
-    __slots__ = ("tag", "words", "roles", "kids")
+    __slots__ = ("tag", "names", "words", "roles", "kids")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.kids = tag, []
-        self.words, self.roles = frozenset(), frozenset()
+        self.names, self.words, self.roles = frozenset(), frozenset(), frozenset()
         if attrs and "=" in attrs:
             for name, *values in ATTRIBUTE.findall(attrs):
                 value = html.unescape("".join(values)).lower()
                 if name.lower() == "role":
                     self.roles = frozenset(value.split())
                 else:
+                    self.names |= frozenset(value.split())
                     self.words |= frozenset(re.split(r"[\s_\-]+", value))
 
 
@@ -66,7 +70,13 @@ def parse(page: str) -> Element:
     """The page's element tree; text is decoded.  Unclosed and stray tags are taken as browsers mostly take them."""
     root = Element("#root", "")
     stack = [root]
+    counts: Counter[str] = Counter()  # open elements by tag: a stray end tag looks at none
     at, n = 0, len(page)
+
+    def shut(k: int) -> None:
+        counts.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
         m = MARKUP.search(page, at)
         if not m:
@@ -79,22 +89,22 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if counts[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shut(k)
                     break
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if counts["p"] else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         if tag in ENDS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or tag in ("dt", "dd") and stack[k].tag in ("dt", "dd") or tag in ("td", "th") and stack[k].tag in ("td", "th"):
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k].tag in ENDS[tag]:
                     break
@@ -105,6 +115,7 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
         elif tag not in VOID and not attrs.endswith("/"):
             stack.append(e)
+            counts[tag] += 1
     if at < n:
         stack[-1].kids.append(html.unescape(page[at:]))
     return root
@@ -115,7 +126,9 @@ def _noise(e: Element, inside: bool) -> bool:
         return True
     if e.tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
         return False
-    return bool(e.words & ALWAYS) or not inside and bool(e.words & OUTSIDE)
+    if inside:
+        return bool(e.names & ALWAYS) or bool(e.words & CLEAR)
+    return bool(e.words & ALWAYS) or bool(e.words & OUTSIDE)
 
 
 def roots(page: Element) -> list[Element]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -499,6 +500,17 @@ def test_html():
     assert html_text.extract("<div>" * 5000 + "deep")[0] == "deep"
 
 
+def test_html_keeps_an_articles_own_words():
+    page = '<article><p class="social-history">A</p><p>B</p><div id="share-prices">C</div><div class="related-work">D</div><div class="ad-slot">x</div><div class="comments">y</div><div id="cookie_notice">z</div></article>'
+    assert html_text.extract(page)[0] == "A\nB\nC\nD"
+
+
+def test_stray_end_tags_take_linear_time():
+    t = time.time()
+    assert html_text.extract("<article>" + "<span>" * 30_000 + "x" + "</b>" * 30_000 + "</article>")[0] == "x"
+    assert time.time() - t < 5
+
+
 def test_html_templates(spark):
     body = "<article><p>Follow us on every channel there is</p><p>Story %d told at length</p></article>"
     rows = [(k, "http://a.org/x", body % k) for k in range(8)] + [(100 + k, "http://b.org/", body % 7) for k in range(8)] + [(200, None, body % 1), (201, "http://c.org", None), (201, "http://c.org", None)]
