@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.model import EDGE_SCHEMA, PropertyGraph, conform
+from graphloom.operators import quality
 from graphloom.operators.clusters import with_clusters
 from graphloom.operators.diff import carry_over, manifest_diff
 from graphloom.operators.expect_actual import with_expect_actual
@@ -14,7 +17,8 @@ from graphloom.operators.resolve import import_edges
 from graphloom.operators.stats import dedup_edges, first_definition
 from graphloom.session import cut, ship, with_position
 from graphloom.sources import files as S
-from graphloom.sources.parse import FILE_SPAN, parse
+from graphloom.sources.parse import FILE_SPAN
+from graphloom.sources.registry import DEFAULT, Registry
 from graphloom.sources.store import load_graph, load_manifest, save_graph, versions
 
 IMPORT_ORD = 1 << 60
@@ -48,10 +52,15 @@ def _imports(raw: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(spark: SparkSession, root: str, project: str = "project", config: S.ScanConfig | None = None,
-                previous: PropertyGraph | None = None, previous_manifest: DataFrame | None = None) -> tuple[PropertyGraph, DataFrame, DataFrame]:
-    """`(graph, manifest, warnings)`; with a previous state only changed files are parsed."""
+                previous: PropertyGraph | None = None, previous_manifest: DataFrame | None = None, registry: Registry = DEFAULT) -> tuple[PropertyGraph, DataFrame, DataFrame]:
+    """`(graph, manifest, warnings)`; with a previous state only changed files are parsed.
+
+    The root's `.gitignore` counts, with the excludes of `config` after it; `registry` chooses the parsers.
+    """
     ship(spark)
-    files, warnings = S.scan(spark, root, config)
+    parse, config = registry.parse, config or S.ScanConfig()
+    config = replace(config, ignored_dirs=[*config.ignored_dirs, *registry.ignored_dirs()])
+    files, warnings = S.scan(spark, root, config, S.root_gitignore(spark, root), registry.extensions())
     files = cut(files)
     manifest = S.manifest_of(files)
     numbers = _numbers(files)
@@ -73,6 +82,13 @@ def build_graph(spark: SparkSession, root: str, project: str = "project", config
     return g, manifest, warnings
 
 
+def unreachable_files(spark: SparkSession, root: str, g: PropertyGraph, config: S.ScanConfig | None = None, entry_patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Files of a built graph that nothing imports and that no pattern, manifest, CI file or shell script names."""
+    known = g.nodes.where(F.col("type") == "file").select("ord", "id", "file")
+    named = S.entry_files(S.build_texts(spark, root, config), known)
+    return quality.unreachable_files(g, entry_patterns).join(named, "file", "left_anti").select("ord", "node_id", "file")
+
+
 def sync_project(spark: SparkSession, root: str, store: str, project: str = "project", batch: int | None = None, **kwargs) -> PropertyGraph:
     """Scan, build, cluster and save as a new version; a stored former version makes the build incremental.  Returns the saved graph.
 
