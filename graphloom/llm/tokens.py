@@ -88,9 +88,9 @@ def around_added(encode: Callable[[str], np.ndarray], path: str) -> Callable[[st
     split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split
 
     def whole(text: str) -> np.ndarray:
-        parts = split(text)
-        if len(parts) == 1:
+        if not any(x in text for x in added):
             return encode(text)
+        parts = split(text)
         return np.concatenate([np.array([added[x]], np.uint32) if k % 2 else encode(x) for k, x in enumerate(parts)])
 
     return whole
