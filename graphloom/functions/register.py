@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.signatures import LANES, fnv1a
 from graphloom.functions.tokens import CHARS_PER_TOKEN
@@ -21,7 +22,7 @@ SQL_FUNCTIONS = {
 }
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _fnv1a(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else fnv1a(s)).astype("Int64")
 
