@@ -115,8 +115,8 @@ def _steps(parts: int, reach: int, bands: bool) -> list[tuple[int, ...]]:
 
 
 def tile_pairs(nodes: DataFrame, bits: int, radius: int, min_ratio: float = 0.0, tile: int = TILE) -> DataFrame:
-    """(a, b, ma, mb): the tiles that may hold nodes (node, fp, shingles, label if given) within `radius` and `min_ratio`, each pair once."""
-    held = ["node", "fp", "shingles", *(["label"] if "label" in nodes.columns else [])]
+    """(a, b, ma, mb): the tiles that may hold nodes (node, fp, shingles, label and crowd if given) within `radius` and `min_ratio`, each pair once."""
+    held = ["node", "fp", "shingles", *[c for c in ("label", "crowd") if c in nodes.columns]]
     nodes, total = cut_counted(nodes)
     if radius <= 4:  # groups by exact bit counts of 2 parts, of 4 once there are enough nodes to fill tiles; the pairs are the same
         parts, wide = (2 if total < 2_000_000 else 4), 1

@@ -154,3 +154,43 @@ def test_stages_keep_columns_that_clash(spark):
     assert near.columns == docs.columns
     kept = {r.doc_id: r for r in near.collect()}
     assert set(kept) >= {0, 9} and all(kept[0][n] == f"{n}0" for n in names)
+
+
+def test_a_family_of_pages_of_one_template(spark):
+    """Many texts that are alike by less than 0.8, some by more: links as by all pairs, candidate rows in proportion to texts."""
+    import random
+
+    from graphloom.llm import near as N
+
+    rng = random.Random(8)
+    frame = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        words = list(frame)
+        words[20:20] = [f"own{i // 2}_{k}" for k in range(9)]  # pairs share their own words
+        if i % 2:
+            words[40] = f"x{i}" if i % 4 == 1 else words[40]
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, f"{i} " + " ".join(f"w{rng.randrange(10_000)}" for _ in range(50))) for i in range(40)]
+    sets = {i: set(N.shingle_set(t).tolist()) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS th", "text")
+    got = sorted(r.doc_id for r in N.survivors(docs).collect())
+    assert got == sorted({find(i) for i in sets})
+    prints = N.sketches(docs, 5).selectExpr("node", "fp", "shingles", "node AS label").dropDuplicates(["node"])
+    degree = {r.node: r.n for r in N.degrees(prints).collect()}
+    assert sum(n > N.CROWD for n in degree.values()) > 150
+    flagged = prints.join(spark.createDataFrame([(k, int(n > N.CROWD)) for k, n in degree.items()], "node long, crowd long"), "node", "left").fillna({"crowd": 0})
+    assert N.candidates(flagged).count() <= N.CROWD * prints.count()
+    assert N.crowded_links(docs.limit(0).selectExpr("doc_id AS node", "th AS label", "th AS shingles", "binary(text) AS held")).count() == 0
