@@ -147,10 +147,10 @@ def code_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nodes, conform(edges, EDGE_SCHEMA), project="derived")
 
 
-def stored_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The same, derived once: for queries that read nodes or edges more than once."""
+def stored_graph(spark: SparkSession, sf_dir: str, edges: bool = True) -> PropertyGraph:
+    """The same, derived once: for queries that read nodes, and edges if so, more than once."""
     g = code_graph(spark, sf_dir)
-    return g.with_(nodes=cut(g.nodes), edges=cut(g.edges))
+    return g.with_(nodes=cut(g.nodes), edges=cut(g.edges) if edges else g.edges)
 
 
 def import_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:

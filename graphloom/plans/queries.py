@@ -243,13 +243,13 @@ def term_idf(spark, sf) -> DataFrame:
 
 @query
 def keyword_topk(spark, sf) -> DataFrame:
-    top = retrieval.keyword_topk(D.stored_graph(spark, sf), I.keywords(QUERY_TEXT), limit=50)
+    top = retrieval.keyword_topk(D.stored_graph(spark, sf, edges=False), I.keywords(QUERY_TEXT), limit=50)
     return top.select("id", "rank", F.round("score", 9).alias("score"))
 
 
 @query
 def keyword_topk_typed(spark, sf) -> DataFrame:
-    top = retrieval.keyword_topk(D.stored_graph(spark, sf), I.keywords(TYPE_QUERY), limit=40, type_filter="function")
+    top = retrieval.keyword_topk(D.stored_graph(spark, sf, edges=False), I.keywords(TYPE_QUERY), limit=40, type_filter="function")
     return top.select("id", "rank", F.round("score", 9).alias("score"))
 
 
