@@ -180,6 +180,8 @@ def _across_shards(keys: DataFrame) -> DataFrame:
     """
     ends = keys.groupBy("shard").agg(F.min("key_id").alias("a"), F.max("key_id").alias("b"))
     ends = ends.select("shard", F.explode(F.array_distinct(F.array("a", "b"))).alias("key_id"))
+    if ends.groupBy("key_id").agg(F.count(F.lit(1)).alias("shards")).where("shards > 1").isEmpty():
+        return keys
     held = keys.join(F.broadcast(ends), ["shard", "key_id"]).groupBy("key_id", "shard").agg(F.count(F.lit(1)).alias("held"))
     before = F.sum("held").over(Window.partitionBy("key_id").orderBy("shard")) - F.col("held")
     start = held.select("shard", "key_id", before.cast("int").alias("start")).where("start > 0")
