@@ -9,9 +9,11 @@ the join, so a suffix shared by many files stays one row.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.identifiers import dirname, file_id, normalize_path
+from graphloom.session import cut, shuffled, spread
 
 # Candidate extensions, in order.
 TS_JS_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -46,10 +48,10 @@ def _first_by_suffix(files: DataFrame) -> DataFrame:
     )
 
 
-def _pick_first(cands: DataFrame, files: DataFrame) -> DataFrame:
+def _pick_first(cands: DataFrame, files: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Best candidate per specifier: least preference, then least file."""
     return (
-        cands.join(_first_by_suffix(files), "cand").groupBy("specifier")
+        cands.join(shuffled(_first_by_suffix(files) if first is None else first), "cand").groupBy("specifier")
         .agg(F.min(F.struct("pref", "f")).alias("best")).select("specifier", F.col("best.f.id").alias("target"))
     )
 
@@ -65,28 +67,28 @@ def _dropping(parts: Column, tails: list[str]) -> Column:
     ))
 
 
-def resolve_jvm(specs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_jvm(specs: DataFrame, files: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Dotted names; `.*` takes every file of the package directory."""
     wild = F.col("specifier").endswith(".*")
     plain = specs.where(~wild).select("specifier", F.explode(_dropping(F.split("specifier", r"\."), [".kt", ".java"])).alias("c")).select("specifier", "c.*")
-    named = _pick_first(plain, files)
+    named = _pick_first(plain, files, first)
     pkg = specs.where(wild).select("specifier", F.lower(F.concat(F.replace(F.regexp_replace("specifier", r"\.\*$", ""), F.lit("."), F.lit("/")), F.lit("/"))).alias("cand"))
     # A package may end inside a directory name: all character suffixes of
     # the distinct directories.
     d = F.lower(F.regexp_replace("file", r"[^/]*$", ""))
     dirs = files.select(d.alias("dir")).distinct().where("dir <> ''")
     ends = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.length("dir")), lambda i: F.substr(F.col("dir"), i))).alias("cand"))
-    hit_dirs = pkg.join(ends, "cand").select("specifier", "dir")
-    many = hit_dirs.join(files.select(d.alias("dir"), F.col("id").alias("target")), "dir").select("specifier", "target")
+    hit_dirs = pkg.join(shuffled(ends), "cand").select("specifier", "dir")
+    many = hit_dirs.join(shuffled(files.select(d.alias("dir"), F.col("id").alias("target"))), "dir").select("specifier", "target")
     return named.unionByName(many)
 
 
-def resolve_python_absolute(specs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_python_absolute(specs: DataFrame, files: DataFrame, first: DataFrame | None = None) -> DataFrame:
     cands = specs.select("specifier", F.explode(_dropping(F.split("specifier", r"\."), [".py", "/__init__.py"])).alias("c")).select("specifier", "c.*")
-    return _pick_first(cands, files)
+    return _pick_first(cands, files, first)
 
 
-def resolve_apple(specs: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_apple(specs: DataFrame, files: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Quoted headers by file name (then the Swift namesake); modules by directory."""
     s = F.col("specifier")
     quoted = s.rlike(r"(?i)\.(h|m|mm)$")
@@ -94,10 +96,10 @@ def resolve_apple(specs: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("pref"), F.lower(s).alias("cand")),
         F.struct(F.lit(1).alias("pref"), F.lower(F.concat(F.regexp_replace(s, r"\.[^./]+$", ""), F.lit(".swift"))).alias("cand")),
     )).alias("c")).select("specifier", "c.*")
-    named = _pick_first(cands, files)
+    named = _pick_first(cands, files, first)
     module = specs.where(~quoted).select("specifier", F.lower(F.split(s, r"\.")[0]).alias("name")).where("name <> ''")
     parent = files.select(F.lower(F.element_at(F.split(dirname("file"), "/"), -1)).alias("name"), F.col("id").alias("target"), "file").where(F.instr("file", "/") > 0)
-    return named.unionByName(module.join(parent, "name").select("specifier", "target"))
+    return named.unionByName(module.join(shuffled(parent), "name").select("specifier", "target"))
 
 
 def resolve_go(specs: DataFrame, files: DataFrame) -> DataFrame:
@@ -109,9 +111,9 @@ def resolve_go(specs: DataFrame, files: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(parts)),
         lambda i: F.struct(i.alias("pref"), F.lower(F.array_join(F.slice(parts, i, F.size(parts)), "/")).alias("cand")),
     )).alias("c")).where("specifier <> ''").select("specifier", "c.*")
-    hits = cands.join(ends, "cand").select("specifier", "pref", "dir")
+    hits = cands.join(shuffled(ends), "cand").select("specifier", "pref", "dir")
     best = hits.groupBy("specifier").agg(F.min("pref").alias("pref"))
-    return hits.join(best, ["specifier", "pref"]).join(go, "dir").select("specifier", "target")
+    return hits.join(shuffled(best), ["specifier", "pref"]).join(shuffled(go), "dir").select("specifier", "target")
 
 
 def _resolve_exact(imports: DataFrame, files: DataFrame, cands: Column) -> DataFrame:
@@ -119,7 +121,7 @@ def _resolve_exact(imports: DataFrame, files: DataFrame, cands: Column) -> DataF
     c = imports.select("file_path", "specifier", F.posexplode(cands).alias("pref", "cand"))
     c = c.withColumn("id", file_id("cand"))
     return (
-        c.join(files.select("id").distinct(), "id").groupBy("file_path", "specifier")
+        c.join(shuffled(files.select("id").distinct()), "id").groupBy("file_path", "specifier")
         .agg(F.min_by("id", "pref").alias("target"))
     )
 
@@ -152,27 +154,37 @@ def import_edges(raw: DataFrame, files: DataFrame) -> DataFrame:
     """`(source, target)` for raw imports `(file_path, specifier)`.
 
     `files(ord, id, file)`.  Specifiers that do not depend on the importer are
-    resolved once per distinct specifier.
+    resolved once per distinct specifier.  A source with one specifier cannot
+    have a target twice, so only the others' edges are compared.
     """
+    files = cut(spread(files.select("ord", "id", "file")))
     lang = language_of(F.col("file_path"))
-    raw = raw.select("file_path", "specifier", lang.alias("lang")).distinct()
-    dotted = (F.col("lang") == "python") & F.col("specifier").startswith(".")
-
-    def shared(name: str, fn) -> DataFrame:
-        rows = raw.where((F.col("lang") == name) & ~dotted)
-        found = fn(rows.select("specifier").distinct(), files)
-        return rows.join(found, "specifier").select("file_path", "target")
-
-    def exact(rows: DataFrame, fn) -> DataFrame:
-        return fn(rows.select("file_path", "specifier"), files).select("file_path", "target")
-
-    hits = (
-        shared("jvm", resolve_jvm)
-        .unionByName(shared("python", resolve_python_absolute))
-        .unionByName(shared("apple", resolve_apple))
+    dotted = (lang == "python") & F.col("specifier").startswith(".")
+    rows = raw.select("file_path", "specifier", F.when(dotted, "dotted").otherwise(lang).alias("lang")).distinct()
+    src = files.select(F.col("file").alias("file_path"), F.col("id").alias("source")).distinct()
+    rows = rows.join(shuffled(src), "file_path")
+    rows = cut(rows.withColumn("alone", F.count(F.lit(1)).over(W.partitionBy("source")) == 1))
+    first = cut(_first_by_suffix(files))
+
+    def of(name: str) -> DataFrame:
+        return rows.where(F.col("lang") == name)
+
+    def shared(name: str, fn, *more) -> DataFrame:
+        return fn(of(name).select("specifier").distinct(), files, *more).distinct().select(F.lit(name).alias("lang"), "specifier", "target")
+
+    found = cut(
+        shared("jvm", resolve_jvm, first)
+        .unionByName(shared("python", resolve_python_absolute, first))
+        .unionByName(shared("apple", resolve_apple, first))
         .unionByName(shared("go", resolve_go))
-        .unionByName(exact(raw.where(F.col("lang") == "ts"), resolve_relative))
-        .unionByName(exact(raw.where(dotted), resolve_python_relative))
     )
-    src = files.select(F.col("file").alias("file_path"), F.col("id").alias("source"))
-    return hits.join(src, "file_path").where(F.col("source") != F.col("target")).select("source", "target").distinct()
+    exact = [fn(spread(of(name).select("file_path", "specifier")), files).withColumn("lang", F.lit(name))
+             for name, fn in (("ts", resolve_relative), ("dotted", resolve_python_relative))]
+    exact = cut(exact[0].unionByName(exact[1]))
+
+    def edges(some: DataFrame) -> DataFrame:
+        hits = some.join(shuffled(found), ["lang", "specifier"]).select("source", "target")
+        hits = hits.unionByName(some.join(shuffled(exact), ["lang", "file_path", "specifier"]).select("source", "target"))
+        return hits.where(F.col("source") != F.col("target"))
+
+    return edges(rows.where("alone")).unionByName(edges(rows.where("NOT alone")).distinct())

@@ -14,7 +14,7 @@ from graphloom.operators import clusters as C
 from graphloom.operators import diff, evaluation, expect_actual, layers, positions, quality, reachability, resolve, retrieval, similarity, stats, suggestions, telemetry
 from graphloom.plans import derived as D
 from graphloom.plans.derived_source import order_sources
-from graphloom.session import spread
+from graphloom.session import shuffled, spread
 from graphloom.plans import tools
 from graphloom.sources import parse, store
 
@@ -524,7 +524,7 @@ def _raw_imports(spark, sf) -> DataFrame:
     t = _source_tree(spark, sf)
     a = t.select(F.col("ord").alias("a"), F.col("file").alias("file_path"), "lang")
     b = t.select(F.col("ord").alias("b"), "br", "ty")
-    j = a.join(b, b.b == a.a + 5)
+    j = a.join(shuffled(b), F.col("b") == F.col("a") + 5)
     k = F.col("b")
     spec = (
         F.when(F.col("lang") == 0, F.when(F.col("a") % 50 == 0, F.concat(F.lit("com.acme."), "br", F.lit("."), "ty", F.lit(".*")))

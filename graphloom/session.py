@@ -100,6 +100,15 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and is joined by a shuffle.
+
+    Left alone, the optimizer goes by the size of compressed files, and a table
+    it takes for small is gathered on the driver many times as large.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than cores before heavy row work.
 
