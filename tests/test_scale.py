@@ -56,3 +56,7 @@ def test_clusters_meet_edges_in_one_aggregate(graph, monkeypatch):
 def test_membership_reads_no_edges(graph):
     broken = graph.with_(edges=graph.edges.withColumn("source", F.raise_error(F.lit("edges were read")).cast("string")))
     assert C.build_clusters(broken)[1].count() == 14
+
+
+def test_labels_are_split_once_for_an_embedding_text(graph):
+    assert plan(retrieval.embedding_text(graph)).count("split(label") == 1
