@@ -60,3 +60,21 @@ def test_membership_reads_no_edges(graph):
 
 def test_labels_are_split_once_for_an_embedding_text(graph):
     assert plan(retrieval.embedding_text(graph)).count("split(label") == 1
+
+
+def test_scores_are_summed_once(graph):
+    scored = retrieval.keyword_scores(graph.nodes, ["get", "some0"])
+    assert plan(scored).count("array_contains(_terms") == 2
+    assert scored.count() == 9 and scored.where("score < 2").count() == 0
+
+
+def test_context_moves_neither_nodes_nor_edges(spark, graph, monkeypatch):
+    seen = []
+    monkeypatch.setattr(retrieval, "cut", lambda df, old=retrieval.cut: (seen.append(plan(df)), old(df))[1])
+    seeds = spark.createDataFrame([("b1", 1), ("a0", 2)], "id string, rank int")
+    relevant = retrieval.expand_context(graph, seeds)
+    sections = {r["section_key"]: r["text"] for r in retrieval.context_sections(graph, relevant).collect()}
+    assert [r["id"] for r in relevant.orderBy("pos").collect()] == ["b1", "a3", "a2", "a1", "a0", "c0", "c1", "c2", "b0", "c5"]
+    assert sections["b"].startswith("in b\n  - function getB1; needs getA3, getA2, getA1\n  - function getB0; needed by getA0")
+    scans = [p for p in seen if "explode(" in p or "label#" in p]
+    assert len(scans) == 4 and not any("SortMergeJoin" in p for p in scans)
