@@ -105,8 +105,8 @@ def defines(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     )
 
 
-def import_pairs(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
-    """Every occurrence of an import, before edge dedup."""
+def import_numbers(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+    """Every occurrence of an import, `(ord, s, t)` by the numbers of the parts."""
     w = W.partitionBy("l_orderkey").orderBy("l_partkey")
     pairs = (
         order_lines(spark, sf_dir, keep).select("l_orderkey", "l_partkey").distinct()
@@ -119,18 +119,27 @@ def import_pairs(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
     even = (F.col("a") + F.col("b")) % 2 == 0
     return pairs.select(
         (F.col("l_orderkey") * 64 + F.col("rn") + IMPORT_ORD).alias("ord"),
-        F.concat(F.lit("part_"), F.when(even, F.col("a")).otherwise(F.col("b"))).alias("source"),
-        F.concat(F.lit("part_"), F.when(even, F.col("b")).otherwise(F.col("a"))).alias("target"),
+        F.when(even, F.col("a")).otherwise(F.col("b")).alias("s"),
+        F.when(even, F.col("b")).otherwise(F.col("a")).alias("t"),
+    )
+
+
+def _import_rows(numbers: DataFrame) -> DataFrame:
+    return numbers.select(
+        "ord", F.concat(F.lit("part_"), F.col("s")).alias("source"), F.concat(F.lit("part_"), F.col("t")).alias("target"),
         F.lit("imports").alias("relation"),
     )
 
 
+def import_pairs(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
+    """Every occurrence of an import, before edge dedup."""
+    return _import_rows(import_numbers(spark, sf_dir, keep))
+
+
 def imports(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
-    return (
-        import_pairs(spark, sf_dir, keep)
-        .groupBy("source", "target", "relation").agg(F.min("ord").alias("ord"))
-        .select("ord", "source", "target", "relation")
-    )
+    # Numbers are names one to one, and far smaller to group and to move.
+    first = import_numbers(spark, sf_dir, keep).groupBy("s", "t").agg(F.min("ord").alias("ord"))
+    return _import_rows(first)
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

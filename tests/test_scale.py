@@ -58,6 +58,13 @@ def test_membership_reads_no_edges(graph):
     assert C.build_clusters(broken)[1].count() == 14
 
 
+def test_imports_are_grouped_by_numbers(spark, tables):
+    rows = D.imports(spark, tables)
+    assert "hashpartitioning(source" not in plan(rows)
+    want = D.import_pairs(spark, tables).groupBy("source", "target", "relation").agg(F.min("ord").alias("ord")).select(*rows.columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect())) and rows.count() > 20
+
+
 def test_labels_are_split_once_for_an_embedding_text(graph):
     assert plan(retrieval.embedding_text(graph)).count("split(label") == 1
 
