@@ -167,12 +167,12 @@ def all_impact_counts(spark, sf) -> DataFrame:
 
 @query
 def bottlenecks(spark, sf) -> DataFrame:
-    return quality.bottlenecks(D.stored_graph(spark, sf))
+    return quality.bottlenecks(D.code_graph(spark, sf))
 
 
 @query
 def bottlenecks_top(spark, sf) -> DataFrame:
-    return quality.bottlenecks(D.stored_graph(spark, sf), limit=15)
+    return quality.bottlenecks(D.code_graph(spark, sf), limit=15)
 
 
 @query

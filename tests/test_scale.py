@@ -65,6 +65,12 @@ def test_imports_are_grouped_by_numbers(spark, tables):
     assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect())) and rows.count() > 20
 
 
+def test_bottlenecks_store_no_graph(spark, tables, monkeypatch):
+    stored = written(monkeypatch, D)
+    assert Q.bottlenecks(spark, tables).count() == 16 and Q.bottlenecks_top(spark, tables).count() == 15
+    assert stored == []
+
+
 def test_labels_are_split_once_for_an_embedding_text(graph):
     assert plan(retrieval.embedding_text(graph)).count("split(label") == 1
 
