@@ -394,7 +394,7 @@ def incremental_edges(spark, sf) -> DataFrame:
 
 @query
 def incremental_nodes(spark, sf) -> DataFrame:
-    g = D.stored_graph(spark, sf)
+    g = D.stored_graph(spark, sf, edges=False)
     touched = D.files(spark, sf).where(F.col("partkey") % 17 == 0).select("id", F.col("file").alias("path"))
     fresh_nodes = g.nodes.where((F.col("type") == "file") | (F.col("line") % 2 == 0)).join(touched.select(F.col("path").alias("file")), "file", "left_semi")
     fresh_edges = g.relation("defines").join(fresh_nodes.select(F.col("id").alias("target")), "target", "left_semi").select("ord", "source", "target", "relation")

@@ -71,6 +71,12 @@ def test_bottlenecks_store_no_graph(spark, tables, monkeypatch):
     assert stored == []
 
 
+def test_incremental_nodes_store_no_edges(spark, tables, monkeypatch):
+    stored = written(monkeypatch, D)
+    assert Q.incremental_nodes(spark, tables).count() > 17
+    assert len(stored) == 1 and "relation" not in stored[0]
+
+
 def test_labels_are_split_once_for_an_embedding_text(graph):
     assert plan(retrieval.embedding_text(graph)).count("split(label") == 1
 
