@@ -58,6 +58,16 @@ def test_membership_reads_no_edges(graph):
     assert C.build_clusters(broken)[1].count() == 14
 
 
+def test_edge_diff_is_one_aggregate_and_null_ends_equal_nothing(spark, graph):
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EDGE_SCHEMA.fields)
+    a = graph.with_(edges=spark.createDataFrame([(1, "x", "y", "calls"), (2, "x", "y", "calls"), (3, "x", None, "calls"), (4, "p", "q", "calls")], spec))
+    b = graph.with_(edges=spark.createDataFrame([(9, "x", "y", "calls"), (8, "x", None, "calls"), (7, "r", "s", "calls")], spec))
+    d = diff.diff_edges(a, b)
+    assert "Join" not in plan(d)
+    assert sorted((r["source"], str(r["target"]), r["status"]) for r in d.collect()) == [
+        ("p", "q", "removed"), ("r", "s", "added"), ("x", "None", "added"), ("x", "None", "removed")]
+
+
 def test_imports_are_grouped_by_numbers(spark, tables):
     rows = D.imports(spark, tables)
     assert "hashpartitioning(source" not in plan(rows)
