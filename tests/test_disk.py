@@ -10,6 +10,7 @@ from graphloom.operators import clusters as C
 from graphloom.operators import diff, layers, retrieval
 from graphloom.plans import derived as D
 from graphloom.plans import queries as Q
+from graphloom.sources import parse
 
 
 @pytest.mark.parametrize("name", ["clusters", "cluster_edge_counts", "cluster_incoming", "incremental_edges"])
@@ -82,3 +83,37 @@ def test_embedding_text_reads_the_nodes_in_one_form(spark):
         lines = [f"get {n['id']} — function in x.py", *([f"calls: {', '.join(calls)}"] if calls else []), *([f"used by: {', '.join(used)}"] if used else [])]
         want.append((n["id"], "\n".join(lines)))
     assert sorted((r["id"], r["text"]) for r in got.collect()) == sorted(want)
+
+
+def test_all_impact_takes_every_file_as_origin(spark, tables):  # noqa: F811
+    back: dict = {}
+    for e in D.imports(spark, tables).where("source IS NOT NULL AND target IS NOT NULL").collect():
+        back.setdefault(e["target"], set()).add(e["source"])
+    want = set()
+    for origin in [f"part_{k}" for k in range(17)]:
+        seen, front, d = {origin}, {origin}, 0
+        while front:
+            front, d = {s for t in front for s in back.get(t, ())} - seen, d + 1
+            seen |= front
+            want |= {(origin, n, d) for n in front}
+    assert {(r["origin"], r["node_id"], r["distance"]) for r in Q.all_impact(spark, tables).collect()} == want
+    assert len({o for o, _, _ in want}) > 1
+
+
+def test_tokens_get_their_neighbors_in_one_window(spark):
+    t = spark.createDataFrame(
+        [("a.py", "py", p, tok, 1, 0 if p == 2 else None) for p, tok in ((2, "def"), (3, "f"), (5, "("), (6, ")"), (9, "{"), (10, "}"))],
+        "path string, lang string, pos int, tok string, line int, indent int")
+    got = parse._shape(t)
+    assert plan(got).count("Window [") == 1
+    rows = [(r["pos"], r["tok"], r["p1"], r["n1"], r["depth"], r["pdepth"]) for r in got.orderBy("pos").collect()]
+    assert rows == [(0, "def", None, "f", 0, 0), (1, "f", "def", "(", 0, 0), (2, "(", "f", ")", 0, 0), (3, ")", "(", "{", 0, 0), (4, "{", ")", "}", 0, 0), (5, "}", "{", None, 0, 0)]
+
+
+def test_only_tokens_that_may_declare_look_up_brackets(spark):
+    shaped = parse._shape(spark.createDataFrame(
+        [("a.go", "go", i, tok, 1, None) for i, tok in enumerate("func f ( a int ) { a = 1 ; f ( a ) }".split())],
+        "path string, lang string, pos int, tok string, line int, indent int"))
+    got = parse._declarations(shaped)
+    assert [(r["pos"], r["label"], r["kind"]) for r in got.collect()] == [(0, "f", "callable")]
+    assert shaped.where(parse._may_declare()).count() == 1
